@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import checkpointed, fresh
+from .common import written, fresh
 from .superkmers import U, mix, word_values
 
 WORDS, SIMILARITY = 5, 0.8
@@ -104,7 +104,7 @@ def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) ->
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): connected components of edges (a, b) by their smallest node. Small-star and large-star rounds, each written to the shared folder."""
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -113,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        edges = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -143,12 +143,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), keys, pa.array([int(n.sum()) for _, n in sets]), pa.ListArray.from_arrays(offsets, pa.array(h.ravel().view(np.int64)))], ["id", "key", "size", "bands"])
 
     # one pass over the texts: an id, the key of its words, and 32 band hashes for each
-    read_once = checkpointed(base.mapInArrow(read, "id long, key binary, size long, bands array<long>"))
+    read_once = written(base.mapInArrow(read, "id long, key binary, size long, bands array<long>"))
     groups = read_once.groupBy("key").agg(F.min("id").alias("rep"))
     members = read_once.select("id", "key").join(groups, "key").select("id", "rep").distinct()
     signed = read_once.join(groups.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "size", F.explode("bands").alias("band"))
     buckets = signed.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").select("band", "head")
-    met = checkpointed(signed.join(buckets, "band"))
+    met = written(signed.join(buckets, "band"))
     sizes = met.groupBy("id").agg(F.max("size").alias("size"))
     fits = lambda pairs: pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("sb")), "b").where(f"least(sa, sb) >= {least} * greatest(sa, sb)").select("a", "b")
     stars = fits(met.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
@@ -170,13 +170,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
+        return written(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
     links = linked(stars)
     comps = components(links)
     named = met.select("band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    left = checkpointed(named.join(mixed, "band").distinct())
+    left = written(named.join(mixed, "band").distinct())
     pairs = left.select("band", F.col("id").alias("a"), F.col("comp").alias("ca")).join(left.select("band", F.col("id").alias("b"), F.col("comp").alias("cb")), "band").where("a < b and ca <> cb").select("a", "b").distinct()
     pairs = fits(pairs.join(stars, ["a", "b"], "left_anti"))
     links = links.unionByName(linked(pairs))

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
+from .common import written
 from .superkmers import U, Windows, byte_values, covered, row_key
 
 LENGTH, ANCHOR = 50, 16
@@ -159,9 +160,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data = pa.array([z.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("k1"), batch.column("k2"), data], ["rest", "k1", "k2", "z"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:-1]), data], [*batch.schema.names[:-1], "z"])
 
-    packed = keyed.mapInArrow(squeeze, T.StructType([keyed.schema["rest"], T.StructField("k1", T.LongType(), False), T.StructField("k2", T.LongType(), False), T.StructField("z", T.BinaryType(), False)]))
+    def packed(*columns: str) -> DataFrame:
+        fields = [T.StructField("k1", T.LongType(), False), T.StructField("k2", T.LongType(), False), T.StructField("z", T.BinaryType(), False)]
+        return keyed.select(*columns, "k1", "k2", "text").mapInArrow(squeeze, T.StructType([*(keyed.schema[c] for c in columns), *fields]))
 
     def texts(batches: Iterator[pa.RecordBatch], other: str) -> Iterator[tuple]:
         z = zstandard.ZstdDecompressor()
@@ -222,19 +225,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 fields = batch.column("rest").flatten()
                 yield pa.RecordBatch.from_arrays([*fields, pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs_, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], [*(f.name for f in rest), *(f.name for f in new)])
 
-    replies = shared_anchors(rows, length, buckets)
-    met = packed.select("k1", "k2", "z", "rest").join(replies, "k1").mapInArrow(runs, "k1 long, k2 long, p long, a long, c long")
+    slim = packed()
+    replies = written(shared_anchors(rows, length, buckets))
+    met = written(slim.join(replies, "k1").mapInArrow(runs, "k1 long, k2 long, p long, a long, c long"))
     shared = met.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest")
-    pairs = met.join(shared.drop("latest"), "a")
+    pairs = written(met.join(shared.drop("latest"), "a"))
     one_kind = pairs.where("low = high and k1 > first").select("k1", "k2", "p")
     several = pairs.where("low <> high").select("k1", "k2", "p", "a", "c")
     kinds = several.groupBy("a", "c").agg(F.min("k1").alias("first"))
-    ranked = several.join(kinds, ["a", "c"])
+    ranked = written(several.join(kinds, ["a", "c"]))
     later = ranked.where("k1 > first").select("k1", "k2", "p")
     by_doc = ranked.where("k1 = first").groupBy("k1").agg(F.collect_list(F.struct("k2", "p", "a")).alias("paths"))
-    found = packed.select("k1", "k2", "z", "rest").join(by_doc, "k1").mapInArrow(positions, "k1 long, k2 long, s long, a long, w long")
+    found = written(slim.join(by_doc, "k1").mapInArrow(positions, "k1 long, k2 long, s long, a long, w long"))
     lowest = found.groupBy("a", "w").agg(F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest").drop("latest")
     single = found.join(lowest, ["a", "w"]).where("k1 > first").select("k1", "k2", "s", (F.col("s") + length).alias("e"))
     whole = one_kind.unionByName(later).select("k1", "k2", F.expr("p div 1024").alias("s"), F.expr(f"p div 1024 + p % 1024 - 1 + {length}").alias("e"))
     by_doc_spans = whole.unionByName(single).groupBy("k1").agg(F.collect_list(F.struct("k2", "s", "e")).alias("spans"))
-    return packed.select("k1", "k2", "z", "rest").join(by_doc_spans, "k1", "left").mapInArrow(apply, T.StructType([*rest, *new]))
+    return packed("rest").join(by_doc_spans, "k1", "left").mapInArrow(apply, T.StructType([*rest, *new]))
