@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import fresh
+from .common import fresh, written
 from .superkmers import Windows, covered, row_key, word_values
 
 LENGTH, ANCHOR = 35, 6
+#: Document keys that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -50,8 +52,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 found = [windows(t).runs() for t in batch.column("text").to_pylist()]
                 sizes = [len(r.start) for r in found]
                 columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("k1", "k2")]
-                columns += [np.concatenate([r[i] for r in found]) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["k1", "k2", "s", "n", "a", "c"])
+                s, n, a, c = (np.concatenate([r[i] for r in found]) for i in range(4))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, [*columns, s * 1024 + n, a, c])], ["k1", "k2", "p", "a", "c"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -67,16 +69,20 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     out[4].append(windows(t).hashes(at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["k1", "k2", "s", "a", "w"])
 
-    paths = rows.mapInArrow(runs, "k1 long, k2 long, s long, n long, a long, c long").withColumn("p", F.col("s") * 1024 + F.col("n")).select("k1", "k2", "p", "a", "c")
+    paths = written(rows.mapInArrow(runs, "k1 long, k2 long, p long, a long, c long"))
     shared = paths.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 1")
-    met = paths.join(shared.drop("m"), "a")
+    met = written(paths.join(shared.drop("m"), "a"))
     one_kind = met.where("low = high").select("k1", "k2", "p")
     several = met.where("low <> high")
     kinds = several.groupBy("a", "c").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "p")).alias("r"))
     many = several.join(kinds.where("m > 1").select("a", "c"), ["a", "c"]).select("k1", "k2", "p")
     by_doc = kinds.select("r.k1", "r.k2", "r.p", "a").groupBy("k1", "k2").agg(F.collect_list(F.struct(F.expr("p div 1024").alias("s"), F.expr("p % 1024").alias("n"), "a")).alias("paths"))
+    by_doc = written(by_doc)
+    wanted = by_doc.select("k1", "k2")
+    few = by_doc.count() <= BROADCAST_ROWS  # else both sides are shuffled
+    rows = rows.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"], "left_semi")
     # a repeated row opens its paths twice; those paths have m > 1, so all their edges are repeated anyway
-    found = rows.join(by_doc, ["k1", "k2"]).mapInArrow(edges, "k1 long, k2 long, s long, a long, w long")
+    found = written(rows.join(by_doc, ["k1", "k2"]).mapInArrow(edges, "k1 long, k2 long, s long, a long, w long"))
     again = found.groupBy("a", "w").agg(F.count("*").alias("m")).where("m > 1").select("a", "w")
     single = found.join(again, ["a", "w"]).select("k1", "k2", F.col("s"), (F.col("s") + length).alias("e"))
     whole = one_kind.unionByName(many).select("k1", "k2", F.expr("p div 1024").alias("s"), F.expr(f"p div 1024 + p % 1024 - 1 + {length}").alias("e"))
