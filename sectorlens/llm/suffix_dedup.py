@@ -3,7 +3,7 @@
 Prefix doubling ranks positions by growing prefixes and lets a position go once its
 rank is unique. Ranking every byte would sort 16 bytes for each byte of text in
 every round, so the first round ranks only synchronised positions: the anchors of
-the 50-byte windows (see superkmers), 16 bytes each, which equal windows share at
+the 50-byte windows (see superkmers), 24 bytes each, which equal windows share at
 equal offsets. The rounds:
 
 1. Anchor ranks. Blocks of documents send their distinct anchors, sorted and
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import written
+from .common import drop, written
 from .superkmers import U, Windows, byte_values, covered, row_key
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 24
 #: Anchors of a block of documents, a bound of a Python worker's memory.
 BLOCK = 1_500_000
 
@@ -65,7 +65,7 @@ def stretches(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def windows(data: bytes, length: int = LENGTH) -> Windows:
-    return Windows(byte_values(data), length, min(ANCHOR, max(1, length // 3)))
+    return Windows(byte_values(data), length, min(ANCHOR, max(1, length // 2)))
 
 
 def shared_anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -228,17 +228,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slim = packed()
     replies = written(shared_anchors(rows, length, buckets))
     met = written(slim.join(replies, "k1").mapInArrow(runs, "k1 long, k2 long, p long, a long, c long"))
-    shared = met.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest")
-    pairs = written(met.join(shared.drop("latest"), "a"))
-    one_kind = pairs.where("low = high and k1 > first").select("k1", "k2", "p")
-    several = pairs.where("low <> high").select("k1", "k2", "p", "a", "c")
+    drop(replies)
+    shared = written(met.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest").select("a", "first", (F.col("low") == F.col("high")).alias("alone")))
+    pairs = written(met.join(shared, "a").where("not alone or k1 > first"))
+    drop(met, shared)
+    one_kind = pairs.where("alone").select("k1", "k2", "p")
+    several = pairs.where("not alone").select("k1", "k2", "p", "a", "c")
     kinds = several.groupBy("a", "c").agg(F.min("k1").alias("first"))
     ranked = written(several.join(kinds, ["a", "c"]))
     later = ranked.where("k1 > first").select("k1", "k2", "p")
     by_doc = ranked.where("k1 = first").groupBy("k1").agg(F.collect_list(F.struct("k2", "p", "a")).alias("paths"))
     found = written(slim.join(by_doc, "k1").mapInArrow(positions, "k1 long, k2 long, s long, a long, w long"))
-    lowest = found.groupBy("a", "w").agg(F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest").drop("latest")
+    lowest = written(found.groupBy("a", "w").agg(F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest").drop("latest"))
     single = found.join(lowest, ["a", "w"]).where("k1 > first").select("k1", "k2", "s", (F.col("s") + length).alias("e"))
     whole = one_kind.unionByName(later).select("k1", "k2", F.expr("p div 1024").alias("s"), F.expr(f"p div 1024 + p % 1024 - 1 + {length}").alias("e"))
-    by_doc_spans = whole.unionByName(single).groupBy("k1").agg(F.collect_list(F.struct("k2", "s", "e")).alias("spans"))
+    by_doc_spans = written(whole.unionByName(single).groupBy("k1").agg(F.collect_list(F.struct("k2", "s", "e")).alias("spans")))
+    drop(pairs, ranked, found, lowest)
     return packed("rest").join(by_doc_spans, "k1", "left").mapInArrow(apply, T.StructType([*rest, *new]))
