@@ -42,7 +42,7 @@ from .superkmers import U, Windows, byte_values, covered, row_key
 
 LENGTH, ANCHOR = 50, 24
 #: Anchors of a block of documents, a bound of a Python worker's memory.
-BLOCK = 1_500_000
+BLOCK = 700_000
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -89,19 +89,21 @@ def shared_anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         a, d = flat[first], np.where(several, 0, doc[first] + 1)
         part = (a >> shift).astype(np.int64)
         ends = np.searchsorted(part, np.arange(part.max() + 2)) if len(part) else np.zeros(1, np.int64)
-        directory = pack(np.diff(ids, prepend=0).view(np.uint64))
         for b in range(len(ends) - 1):
             i, j = ends[b], ends[b + 1]
             if i < j:
-                block = [pack(np.diff(a[i:j], prepend=U(0))), pack(d[i:j])]
-                out.append((b % buckets, 0, len(block[0]).to_bytes(8, "little") + block[0] + block[1], directory))
+                known, place = np.unique(d[i:j], return_inverse=True)  # 0 stands for documents that have been told
+                block = [pack(np.diff(a[i:j], prepend=U(0))), pack(place)]
+                own = np.where(known > 0, ids[np.maximum(known - 1, 0)], 0)
+                directory = pack(np.diff(own, prepend=0).view(np.uint64))
+                out.append((b % buckets, 0, len(block[0]).to_bytes(8, "little") + block[0] + block[1], (b"\1" if known[0] == 0 else b"\0") + directory))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "k1", "data", "directory"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
         anchors: list[np.ndarray] = []
         size = 0
-        for batch in batches:
+        for batch in (part for big in batches for part in slices(big, "text")):
             for key, text in zip(batch.column("k1").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 a = np.unique(windows(text.encode(), length).runs().anchor.view(np.uint64))
                 if len(a):
@@ -116,25 +118,28 @@ def shared_anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         """A bucket: which anchors several blocks hold, told to the documents that hold them."""
-        keys, found = [], []
-        a_all, d_all, k_all = [], [], []
-        for key, data, directory in zip(*(table.column(c).to_pylist() for c in ("k1", "data", "directory")), strict=True):
+        keys, found, parts = [], [], []
+        for key, data, directory in zip(*(table.column(c) for c in ("k1", "data", "directory")), strict=True):
+            data, directory = data.as_py(), directory.as_py()
             if not directory:
-                keys.append(key)
+                keys.append(key.as_py())
                 found.append(data)
                 continue
             n = int.from_bytes(data[:8], "little")
-            d = unpack(data[8 + n :]).astype(np.int64)
-            ids = np.cumsum(unpack(directory).view(np.int64))
-            a_all.append(np.cumsum(unpack(data[8 : 8 + n]), dtype=np.uint64))
-            d_all.append(d > 0)
-            k_all.append(ids[np.maximum(d - 1, 0)])
-        if a_all:
-            a, told, k = map(np.concatenate, (a_all, d_all, k_all))
-            _, where, count = np.unique(a, return_inverse=True, return_counts=True)
-            keep = (count[where] > 1) & told
-            order = np.argsort(k[keep], kind="stable")
-            a, k = a[keep][order], k[keep][order]
+            place = unpack(data[8 + n :]).astype(np.int64)
+            ids = np.cumsum(unpack(directory[1:]).view(np.int64))
+            told = place == 0 if directory[:1] == b"\1" else np.zeros(len(place), bool)
+            parts.append((np.cumsum(unpack(data[8 : 8 + n]), dtype=np.uint64), ids[place], ~told))
+        if parts:
+            a, k, tell = map(np.concatenate, zip(*parts, strict=True))
+            parts.clear()
+            order = np.argsort(a, kind="stable")
+            a, k, tell = a[order], k[order], tell[order]
+            again = a[1:] == a[:-1]
+            keep = (np.r_[False, again] | np.r_[again, False]) & tell
+            a, k = a[keep], k[keep]
+            order = np.argsort(k, kind="stable")
+            a, k = a[order], k[order]
             for i, j in stretches(k):
                 keys.append(int(k[i]))
                 found.append(a[i:j].tobytes())
@@ -149,7 +154,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not 1 <= length < 1024:
         raise ValueError("length must be under 1024")
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     k1, k2 = row_key(docs, doc_id, text)
     new = [T.StructField(out, T.BinaryType()), T.StructField(n_bytes, T.LongType()), T.StructField(n_removed, T.LongType()), T.StructField(spans, T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))]
     rest = [f for f in docs.schema.fields if f.name.lower() not in {x.name.lower() for x in new} | {text.lower()}]
