@@ -37,8 +37,8 @@ from .common import written, fresh
 from .superkmers import U, mix, word_values
 
 WORDS, SIMILARITY = 5, 0.8
-#: A pair at the similarity shares a band with probability 1 - (1 - 0.8^5)^32, over 0.999997.
-BANDS, ROWS = 32, 5
+#: A pair at the similarity shares a band with probability 1 - (1 - 0.8^7)^48, over 0.99998; one at 0.3 with 0.01.
+BANDS, ROWS = 48, 7
 #: Document ids that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 split = re.compile(r"\w+").findall
@@ -61,7 +61,7 @@ def uniform(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int, extra: float = 2.0) -> np.ndarray:
-    """DartMinHash of non-empty weighted sets (elements, weights): per set and coordinate the hash of the earliest dart."""
+    """DartMinHash of non-empty weighted sets (elements, weights): per set and coordinate the earliest dart, named by the bits of its rank."""
     totals = np.array([w.sum() for _, w in sets], np.float64)
     element, weight = (np.concatenate(x) for x in zip(*sets, strict=True))
     owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
@@ -71,28 +71,25 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int, extra: float =
     part = np.minimum(1.0, np.repeat(weight, whole) - level)  # the share of the unit cell that belongs to the element
     owner = np.repeat(owner, whole)
     height = ((np.log(k) + extra) / totals)[owner]
-    rank, slots, ranks, darts = np.zeros(len(seed)), [], [], []
+    fractions = bool((part < 1).any())
+    rank, earliest = np.zeros(len(seed)), np.full(len(sets) * k, np.inf)
     while len(seed):
         seed = mix(seed + U(0x9E3779B97F4A7C15))
         rank = rank - np.log(uniform(seed)) / k
-        live = rank < height
-        seed, rank, part, owner, height = seed[live], rank[live], part[live], owner[live], height[live]
-        other = mix(seed ^ U(0xD6E8FEB86659FD93))
-        hit = uniform(mix(other)) < part
-        slots.append(owner[hit] * k + (other[hit] % U(k)).astype(np.int64))
-        ranks.append(rank[hit])
-        darts.append(seed[hit])
-    slot, dart = np.concatenate(slots), np.concatenate(darts)
-    order = np.lexsort((np.concatenate(ranks), slot))
-    slot, dart = slot[order], dart[order]
-    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-    out, known = np.zeros(len(sets) * k, U), np.zeros(len(sets) * k, bool)
-    out[slot[first]], known[slot[first]] = dart[first], True
-    out, known = out.reshape(-1, k), known.reshape(-1, k).all(axis=1)
-    if not known.all():  # rare: a coordinate without a dart; the same darts and more, thrown higher
-        again = np.flatnonzero(~known)
-        out[again] = signatures([sets[i] for i in again], k, 2 * (np.log(k) + extra) - np.log(k))
-    return out
+        live = np.flatnonzero(rank < height)
+        seed, rank, owner, height = seed[live], rank[live], owner[live], height[live]
+        slot = owner * k + (mix(seed ^ U(0xD6E8FEB86659FD93)) % U(k)).astype(np.int64)
+        if fractions:
+            part = part[live]
+            hit = uniform(mix(seed ^ U(0xA0761D6478BD642F))) < part
+            np.minimum.at(earliest, slot[hit], rank[hit])
+        else:
+            np.minimum.at(earliest, slot, rank)
+    out = earliest.reshape(-1, k)
+    empty = np.flatnonzero(np.isinf(out).any(axis=1))
+    if len(empty):  # rare: a coordinate without a dart; the same darts and more, thrown higher
+        out[empty] = signatures([sets[i] for i in empty], k, 2 * (np.log(k) + extra) - np.log(k)).view(np.float64)
+    return out.view(U)
 
 
 def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
@@ -142,7 +139,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), keys, pa.array([int(n.sum()) for _, n in sets]), pa.ListArray.from_arrays(offsets, pa.array(h.ravel().view(np.int64)))], ["id", "key", "size", "bands"])
 
-    # one pass over the texts: an id, the key of its words, and 32 band hashes for each
+    # one pass over the texts: an id, the key of its words, and its band hashes
     read_once = written(base.mapInArrow(read, "id long, key binary, size long, bands array<long>"))
     groups = read_once.groupBy("key").agg(F.min("id").alias("rep"))
     members = read_once.select("id", "key").join(groups, "key").select("id", "rep").distinct()
