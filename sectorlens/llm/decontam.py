@@ -26,15 +26,26 @@ from pyspark.sql import functions as F
 from .common import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LENGTH, GRAM = 10, 5
+LENGTH, GRAM = 10, 8
 BROADCAST_ROWS = 200_000
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, other characters kept."""
+    return F.when(is_ascii(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def words(text: Column) -> Column:
-    """Runs of digits, letters a-z and characters beyond ASCII; A-Z are lower-cased, others kept."""
-    text = F.coalesce(text, F.lit(""))
-    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    """Runs of digits, letters a-z and characters beyond ASCII; A-Z are lower-cased before."""
+    return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]++")).cast("long")
 
 
 def fingerprints(words: Column, length: int) -> Column:
@@ -58,7 +69,7 @@ def window_text(column: str, start: str, length: int) -> Column:
 def item_windows(items: DataFrame, length: int, whole: bool) -> DataFrame:
     """(fp, w, items): windows of the benchmark, with the sorted ids of the items that hold each."""
     rows = items.where(F.size("words") == length if whole else F.size("words") >= length)
-    rows = rows.select("item", "words", F.posexplode(fingerprints(F.col("words"), length)).alias("s", "fp"))
+    rows = rows.select("item", "words", F.posexplode_outer(fingerprints(F.col("words"), length)).alias("s", "fp"))
     rows = rows.select("fp", window_text("words", "s", length).alias("w"), "item")
     return rows.groupBy("fp", "w").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
@@ -69,10 +80,10 @@ def hits(docs: DataFrame, known: DataFrame, length: int, broadcast_rows: int) ->
     if known.count() > broadcast_rows:
         some = fps.select("id", "h", F.explode(F.array_distinct("fps")).alias("fp")).join(known.select("fp").distinct(), "fp", "left_semi").select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct()
         fps = fps.join(some, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_semi")
-        rows = fps.select("id", "h", "words", F.posexplode("fps").alias("s", "fp")).select("id", "h", "s", "fp", window_text("words", "s", length).alias("w"))
+        rows = fps.select("id", "h", "words", F.posexplode_outer("fps").alias("s", "fp")).select("id", "h", "s", "fp", window_text("words", "s", length).alias("w"))
         found = rows.join(known, ["fp", "w"])
     else:
-        rows = fps.select("id", "h", "words", F.posexplode("fps").alias("s", "fp"))
+        rows = fps.select("id", "h", "words", F.posexplode_outer("fps").alias("s", "fp"))
         near = F.broadcast(known.withColumnRenamed("fp", "fp2"))
         found = rows.join(near, (F.col("fp") == F.col("fp2")) & (window_text("words", "s", length) == F.col("w")))
     return found.select("id", "h", "s", (F.col("s") + length).alias("e"), "items")
@@ -92,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     per_doc = per_doc.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "spans", "items", total.alias("n_hit"))
     added = {"n_words", "n_hit", "items", "spans", "_id", "_h"}
     kept = docs.select(*(c for c in docs.columns if c.lower() not in added or c in (doc_id, text)))
-    out = kept.withColumn("n_words", F.size(words(F.col(text))).cast("long")).withColumn("_key", F.xxhash64(text))
+    out = kept.withColumn("n_words", word_count(F.col(text))).withColumn("_key", F.xxhash64(text))
     out = out.join(per_doc, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left").drop("_id", "_h", "_key")
     empty = F.array().cast("array<string>")
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", empty)})
