@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
+from .common import drop, written
 
 UNKNOWN = "und"
 N = 5
@@ -132,29 +133,27 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "h", "n"])
 
     known = rows.where(keep).mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    known = known.persist()
-    try:
-        sizes = known.groupBy("lang", "n").agg(F.count("*").alias("k")).collect()
-        least = F.lit(False)
-        for name in counts:
-            total, cut = 0, None
-            for n, k in sorted(((r.n, r.k) for r in sizes if r.lang == name), reverse=True):
-                total += k
-                if cut is not None and (total > grams_per_lang or n < 2):
-                    break
-                cut = n
-            if cut is not None:
-                least = least | ((F.col("lang") == name) & (F.col("n") >= cut))
-        table = known.where(least).select("lang", "h").toArrow()
-    finally:
-        known.unpersist()
+    known = written(known)
+    sizes = known.groupBy("lang", "n").agg(F.count("*").alias("k")).collect()
+    least = F.lit(False)
+    for name in counts:
+        total, cut = 0, None
+        for n, k in sorted(((r.n, r.k) for r in sizes if r.lang == name), reverse=True):
+            total += k
+            if cut is not None and (total > grams_per_lang or n < 2):
+                break
+            cut = n
+        if cut is not None:
+            least = least | ((F.col("lang") == name) & (F.col("n") >= cut))
+    table = known.where(least).select("lang", "h").toArrow()
+    drop(known)
     names, hashes = np.array(table.column("lang").to_pylist(), dtype=object), table.column("h").to_numpy().view(np.uint64)
     return BitSlicedFilter.build({name: hashes[names == name] for name in counts}, bits)
 
 
-def identify(docs: DataFrame, model: BitSlicedFilter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The columns of docs plus the predicted language and its score."""
-    rest = [f for f in docs.schema.fields if f.name.lower() not in {lang_pred.lower(), score.lower()}]
+def identify(docs: DataFrame, model: BitSlicedFilter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", keep_text: bool = True) -> DataFrame:
+    """The columns of docs (on request without the text) plus the predicted language and its score."""
+    rest = [f for f in docs.schema.fields if f.name.lower() not in {lang_pred.lower(), score.lower()} and (keep_text or f.name != text)]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs.where(~langid.held_out()))
-    return langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
+    return langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model, keep_text=False)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
