@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices(big, "text", 500_000):
+            for batch in slices(big, "text", 250_000):
                 texts = [split((t or "").lower()) for t in batch.column("text").to_pylist()]
                 at = [i for i, t in enumerate(texts) if t]
                 if not at:
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, tuple] = ("", (np.empty(0, U), np.empty(0, np.int64)))
-        for batch in batches:
+        for batch in (big.slice(i, 256) for big in batches for i in range(0, big.num_rows, 256)):
             keep = []
             for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                 if a != last[0]:
