@@ -12,6 +12,9 @@ Signatures are cut into bands that are joined by hash. In each bucket all member
 are compared with the smallest one; links join components (label propagation with
 written rounds), and where a bucket still holds several components its pairs across
 components are compared as well, so that no pair that shares a band is left out.
+Before a pair is made, parity sketches bound its similarity from above: every cell
+of the symmetric difference of two sets flips one bit, so the sets differ in at least
+as many cells as their sketches in bits. No pair at the similarity is lost by that.
 Pairs are verified exactly on their shingles. Exact copies (equal words) are grouped
 before and are not expanded into pairs.
 
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -39,6 +42,8 @@ from .superkmers import U, mix, word_values
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the similarity shares a band with probability 1 - (1 - 0.8^7)^48, over 0.99998; one at 0.3 with 0.01.
 BANDS, ROWS = 48, 7
+#: Longs of a parity sketch; sets that differ in more than half as many cells as it has bits are told apart less sharply.
+SKETCH = 16
 #: Document ids that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 split = re.compile(r"\w+").findall
@@ -92,6 +97,25 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int, extra: float =
     return out.view(U)
 
 
+def sketches(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Parity sketches (rows of SKETCH longs) of multisets (elements, counts): each cell, an element at a level, flips one bit."""
+    element, count = (np.concatenate(x) for x in zip(*sets, strict=True))
+    owner = np.repeat(np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets]), count)
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    cell = mix(np.repeat(element, count) ^ (level.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)) % U(64 * SKETCH)
+    out = np.zeros(len(sets) * SKETCH, U)
+    np.bitwise_xor.at(out, owner * SKETCH + (cell >> U(6)).astype(np.int64), U(1) << (cell & U(63)))
+    return out.reshape(-1, SKETCH)
+
+
+def may_reach(least: float, a: str, b: str) -> Column:
+    """Whether sizes and sketches of two documents (columns `size` and `sketch` under the given prefixes) leave room for the similarity."""
+    size = F.col(f"{a}size") + F.col(f"{b}size")
+    apart = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    fits = F.least(f"{a}size", f"{b}size") >= least * F.greatest(f"{a}size", f"{b}size")
+    return fits & (apart <= size * ((1 - least) / (1 + least)) + 1e-9)
+
+
 def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
     """Weighted Jaccard similarity."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -137,17 +161,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     h = mix(h * U(0x9E3779B97F4A7C15) ^ signed[:, :, j])
                 keys = pa.array([xxhash.xxh3_128_digest(" ".join(texts[i]).encode()) for i in at], pa.binary())
                 offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), keys, pa.array([int(n.sum()) for _, n in sets]), pa.ListArray.from_arrays(offsets, pa.array(h.ravel().view(np.int64)))], ["id", "key", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), keys, pa.array([int(n.sum()) for _, n in sets]), pa.ListArray.from_arrays(offsets, pa.array(h.ravel().view(np.int64))), pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * SKETCH, pa.array(sketches(sets).ravel().view(np.int64)))], ["id", "key", "size", "bands", "sketch"])
 
-    # one pass over the texts: an id, the key of its words, and its band hashes
-    read_once = written(base.mapInArrow(read, "id long, key binary, size long, bands array<long>"))
+    # one pass over the texts: an id, the key of its words, its band hashes and its sketch
+    read_once = written(base.mapInArrow(read, "id long, key binary, size long, bands array<long>, sketch array<long>"))
     groups = read_once.groupBy("key").agg(F.min("id").alias("rep"))
     members = read_once.select("id", "key").join(groups, "key").select("id", "rep").distinct()
-    signed = read_once.join(groups.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "size", F.explode("bands").alias("band"))
+    signed = read_once.join(groups.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", F.explode("bands").alias("band"))
     buckets = signed.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").select("band", "head")
     met = written(signed.join(buckets, "band"))
-    sizes = met.groupBy("id").agg(F.max("size").alias("size"))
-    fits = lambda pairs: pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("sb")), "b").where(f"least(sa, sb) >= {least} * greatest(sa, sb)").select("a", "b")
+    known = read_once.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max(F.struct("size", "sketch", "bands")).alias("s")).select("id", "s.*")
+    named = lambda x: known.select(F.col("id").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    fits = lambda pairs: pairs.join(named("a"), "a").join(named("b"), "b").where(may_reach(least, "a_", "b_")).select("a", "b")
     stars = fits(met.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +196,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links = linked(stars)
     comps = components(links)
-    named = met.select("band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    left = written(named.join(mixed, "band").distinct())
-    pairs = left.select("band", F.col("id").alias("a"), F.col("comp").alias("ca")).join(left.select("band", F.col("id").alias("b"), F.col("comp").alias("cb")), "band").where("a < b and ca <> cb").select("a", "b").distinct()
-    pairs = fits(pairs.join(stars, ["a", "b"], "left_anti"))
+    placed = met.select("band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    left = written(placed.join(mixed, "band").distinct().join(known, "id"))
+    one, other = (left.select("band", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "comp", "size", "sketch", "bands"))) for x in "ab")
+    once = F.col("band") == F.coalesce(F.array_min(F.array_intersect("a_bands", "b_bands")), "band")  # of the bands that a pair shares, one makes it
+    pairs = one.join(other, "band").where("a_id < b_id and a_comp <> b_comp").where(may_reach(least, "a_", "b_") & once).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    pairs = pairs.join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(linked(pairs))
     comps = components(links).withColumnRenamed("node", "rep")
     classes = members.join(comps, "rep", "left").groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("class"))
