@@ -3,8 +3,9 @@
 Prefix doubling ranks positions by growing prefixes and lets a position go once its
 rank is unique. Ranking every byte would sort 16 bytes for each byte of text in
 every round, so the first round ranks only synchronised positions: the anchors of
-the 50-byte windows (see superkmers), 24 bytes each, which equal windows share at
-equal offsets. The rounds:
+the 50-byte windows (see superkmers), which equal windows share at equal offsets.
+An anchor has 24 bytes and grows by half of a window's other bytes, before it or
+after it, wherever the window has more of them: 37 or 38 bytes. The rounds:
 
 1. Anchor ranks. Blocks of documents send their distinct anchors, sorted and
    delta-coded, to buckets by leading bits; anchors that only one document holds
@@ -105,7 +106,7 @@ def shared_anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         size = 0
         for batch in (part for big in batches for part in slices(big, "text")):
             for key, text in zip(batch.column("k1").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                a = np.unique(windows(text.encode(), length).runs().anchor.view(np.uint64))
+                a = np.unique(windows(text.encode(), length).half_runs().anchor.view(np.uint64))
                 if len(a):
                     keys.append(key)
                     anchors.append(a)
@@ -191,7 +192,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             for a, b, data, anchors in texts(batches, "anchors"):
-                r = windows(data, length).runs()
+                r = windows(data, length).half_runs()
                 keep = np.isin(r.anchor, np.frombuffer(b"".join(anchors), np.int64))
                 n = int(keep.sum())
                 if n:
@@ -242,11 +243,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kinds = several.groupBy("a", "c").agg(F.min("k1").alias("first"))
     ranked = written(several.join(kinds, ["a", "c"]))
     later = ranked.where("k1 > first").select("k1", "k2", "p")
+    whole = written(one_kind.unionByName(later).select("k1", "k2", F.expr("p div 1024").alias("s"), F.expr(f"p div 1024 + p % 1024 - 1 + {length}").alias("e")))
+    drop(pairs)
     by_doc = ranked.where("k1 = first").groupBy("k1").agg(F.collect_list(F.struct("k2", "p", "a")).alias("paths"))
     found = written(slim.join(by_doc, "k1").mapInArrow(positions, "k1 long, k2 long, s long, a long, w long"))
+    drop(ranked)
     lowest = written(found.groupBy("a", "w").agg(F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest").drop("latest"))
-    single = found.join(lowest, ["a", "w"]).where("k1 > first").select("k1", "k2", "s", (F.col("s") + length).alias("e"))
-    whole = one_kind.unionByName(later).select("k1", "k2", F.expr("p div 1024").alias("s"), F.expr(f"p div 1024 + p % 1024 - 1 + {length}").alias("e"))
+    single = written(found.join(lowest, ["a", "w"]).where("k1 > first").select("k1", "k2", "s", (F.col("s") + length).alias("e")))
+    drop(found, lowest)
     by_doc_spans = written(whole.unionByName(single).groupBy("k1").agg(F.collect_list(F.struct("k2", "s", "e")).alias("spans")))
-    drop(pairs, ranked, found, lowest)
+    drop(whole, single)
     return packed("rest").join(by_doc_spans, "k1", "left").mapInArrow(apply, T.StructType([*rest, *new]))

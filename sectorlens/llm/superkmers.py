@@ -91,18 +91,39 @@ class Windows:
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
+    def places(self, g: np.ndarray) -> np.ndarray:
+        """Where the anchor of each window is, given the hashes of all k-grams."""
+        at = np.arange(len(g), dtype=U)
+        return (sliding_min((g & U(0xFFFFFFFF00000000)) | at, self.length - self.k + 1) & U(0xFFFFFFFF)).astype(np.int64)
+
     def runs(self) -> Runs:
         if not self.n:
             e = np.empty(0, np.int64)
             return Runs(e, e, e, e)
         at = np.arange(len(self.values) - self.k + 1)
         g = self.span_hash(at, at + self.k)
-        where = (sliding_min((g & U(0xFFFFFFFF00000000)) | at.astype(U), self.length - self.k + 1) & U(0xFFFFFFFF)).astype(np.int64)
+        where = self.places(g)
         start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         count = np.diff(np.r_[start, self.n])
         place = where[start]
-        content = mix(self.span_hash(start, start + count + self.length - 1) ^ mix((place - start).astype(U) * U(256) + count.astype(U)))
-        return Runs(start, count, g[place].view(np.int64), content.view(np.int64))
+        return Runs(start, count, g[place].view(np.int64), self.contents(start, count, place))
+
+    def contents(self, start: np.ndarray, count: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return mix(self.span_hash(start, start + count + self.length - 1) ^ mix((place - start).astype(U) * U(256) + count.astype(U))).view(np.int64)
+
+    def half_runs(self) -> Runs:
+        """Runs cut where windows change sides: those with at least half of their other tokens before the anchor, and the rest. The anchor grows by the tokens that all windows of a half have on that side."""
+        if not self.n:
+            return self.runs()
+        at = np.arange(len(self.values) - self.k + 1)
+        where = self.places(self.span_hash(at, at + self.k))
+        before = (self.length - self.k + 1) // 2
+        after = self.length - self.k - before + 1
+        left = where - np.arange(self.n) >= before
+        start = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (left[1:] != left[:-1])])
+        count, place, left = np.diff(np.r_[start, self.n]), where[start], left[start]
+        anchor = self.span_hash(place - before * left, place + self.k + after * ~left)
+        return Runs(start, count, anchor.view(np.int64), self.contents(start, count, place))
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
         return self.span_hash(at, at + self.length).view(np.int64)
