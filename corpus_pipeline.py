@@ -10,17 +10,32 @@ from sectorlens.llm.common import ensure_checkpoint_dir, read
 from sectorlens.llm.queries import tokenizer
 from sectorlens.session import ship
 
-#: Documents of which a smaller share of n-grams belongs to the best language, and that are long enough to tell, are rejected.
-LEAST_SCORE, LEAST_CHARS = 0.1, 40
+#: Of the texts of a learnt language that many at most, as a share, are rejected: the least score of a language is this quantile of the scores of its labelled rows kept from learning.
+REJECTED = 0.001
+#: Shorter texts that are labelled stay: a few n-grams don't tell. Unlabelled ones need the score like longer ones.
+LEAST_CHARS = 40
+#: The least score where no labelled row was kept from learning.
+LEAST_SCORE = 0.5
+
+
+def least_scores(docs: DataFrame, model: langid.BitSlicedFilter) -> dict[str, float]:
+    """Per learnt language the least score of its texts, from labelled rows kept from learning that are long enough and predicted right."""
+    held = docs.where(langid.held_out() & F.col("lang").isNotNull() & (F.char_length("text") >= LEAST_CHARS)).select("text", "lang")
+    right = langid.identify(held, model, lang_pred="_lang_pred", score="_score").where("lang = _lang_pred")
+    found = {r.lang: r.least for r in right.groupBy("lang").agg(F.percentile_approx("_score", REJECTED, 100_000).alias("least")).collect()}
+    return {name: found.get(name, LEAST_SCORE) for name in model.languages}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that are in none of the learnt languages; sets no column."""
+    """Drops documents without a letter and those whose score is under that of texts in the learnt languages; sets no column."""
     ship(spark)
-    model = langid.learn(docs)
+    model = langid.learn(docs.where(~langid.held_out()))
+    least = F.lit(LEAST_SCORE)
+    for name, score in least_scores(docs, model).items():
+        least = F.when(F.col("_lang_pred") == name, score).otherwise(least)
     found = langid.identify(docs, model, lang_pred="_lang_pred", score="_score")
-    foreign = (F.col("_score") < LEAST_SCORE) & (F.char_length("text") >= LEAST_CHARS)
-    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & ~foreign).select(*docs.columns)
+    short = (F.char_length("text") < LEAST_CHARS) & F.col("lang").isNotNull()
+    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (short | (F.col("_score") >= least))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,3 +19,17 @@ def test_stages_keep_columns_and_take_effect(spark):
     last = docs.collect()
     assert 0 < len(last) < before and all(x.n_tokens == len(x.ids) for x in last)
     assert len({x.doc_id for x in last}) == len(last)
+
+
+def test_a_language_kept_from_learning_is_rejected(spark):
+    from pyspark.sql import functions as F
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("char_length(text) >= 40")
+    short = spark.createDataFrame([(10**9 + i, text, lang) for i, (text, lang) in enumerate([("The and.", "en"), ("Re.", "en"), ("Keit von und.", None), ("12 !!", "en"), (None, "en")])], "doc_id long, text string, lang string")
+    docs = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang"))).unionByName(short, allowMissingColumns=True)
+    own, foreign = docs.where("lang is not null and doc_id < 1000000000"), docs.where("lang is null and doc_id < 1000000000")
+    kept = corpus_pipeline.language(spark, docs, "").select("doc_id", "lang").collect()
+    assert sum(x.doc_id < 10**9 and x.lang is None for x in kept) < 0.05 * foreign.count()
+    assert sum(x.doc_id < 10**9 and x.lang is not None for x in kept) > 0.98 * own.count()
+    assert {x.doc_id for x in kept if x.doc_id >= 10**9} == {10**9, 10**9 + 1}
