@@ -4,15 +4,15 @@ A page's text falls into blocks. For each root-to-leaf path of block tags the te
 length, the punctuation marks and the linked text of its blocks are added up; the
 path's length and punctuation per block are fused into one ratio, damped by the
 linked share. Ratios are smoothed along the page, averaged per path again, and
-paths at a share of the best one or more select content nodes. The element that
-holds most selected text, widened to its article or main element, is the article;
-its blocks are returned in page order, apart from elements that their tag, role,
-class or id mark as menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments.
+paths at a share of the best one or more select content nodes. The lowest element
+that holds all of them, widened to the outermost article or main element around it,
+is the container; all its blocks are returned in page order, apart from elements
+that their tag, role, class or id mark as menus, headers, footers, sidebars, notices,
+adverts, forms or reader comments. The ratios decide the container only.
 
 Cases: a null or empty page, or one without text, gives an empty text; text outside
 any tag is a block of its own; tags that are never closed end with their parent;
-equal containers: the first in page order; pages are read whole.
+pages are read whole.
 """
 
 from __future__ import annotations
@@ -176,36 +176,27 @@ def path_ratios(page: list[Block]) -> dict[str, float]:
     return {p: sum(v) / len(v) for p, v in smooth.items()}
 
 
+def around(element: Element) -> list[Element]:
+    """The element and those it stands in, the outermost first."""
+    chain = [element]
+    while chain[-1].parent is not None:
+        chain.append(chain[-1].parent)
+    return chain[::-1]
+
+
 def main_blocks(page: str) -> list[str]:
     found = [b for b in blocks(page) if not b.element.noise]
     if not found:
         return []
     ratios = path_ratios(found)
     least = KEEP_SHARE * max(ratios.values())
-    weights: dict[int, float] = {}
-    holders: dict[int, Element] = {}
+    shared: list[Element] | None = None  # the elements around all selected blocks, the outermost first
     for b in found:
         if ratios[b.element.path] >= least:
-            holder = b.element.parent if b.element.parent is not None else b.element
-            e: Element | None = b.element
-            while e is not None:
-                if e.name in ("article", "main"):
-                    holder = e
-                    break
-                e = e.parent
-            weights[id(holder)] = weights.get(id(holder), 0) + len(b.text)
-            holders[id(holder)] = holder
-    best = holders[max(weights, key=weights.__getitem__)]
-
-    def within(e: Element | None) -> bool:
-        while e is not None:
-            if e is best:
-                return True
-            e = e.parent
-        return False
-
-    whole = best.name in ("article", "main")
-    return [b.text for b in found if within(b.element) and (whole or ratios[b.element.path] >= least or 2 * b.linked < len(b.text))]
+            chain = around(b.element.parent if b.element.parent is not None else b.element)
+            shared = chain if shared is None else [x for x, y in zip(shared, chain) if x is y]
+    best = next((e for e in shared if e.name in ("article", "main")), shared[-1])
+    return [b.text for b in found if best in around(b.element)]
 
 
 def main_text(page: str | None) -> str:

@@ -215,6 +215,16 @@ def test_main_text(spark):
     assert tag_paths.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_of_several_containers():
+    a, b, c = (f"{x} one, two, three. Four, five, six. Seven, eight, nine." for x in ("First", "Second part is longer, so it is", "Third"))
+    split = f"<body><nav><p>{a}</p></nav><div id=content><div class=part><p>{a}</div><div class=part><p>{b}</div><section><p>{c}</section></div></body>"
+    assert tag_paths.main_blocks(split) == [a, b, c]
+    assert tag_paths.main_blocks(f"<div><p>{a}</p><blockquote><p>{b} {b}</p></blockquote><p>{c}</p></div>") == [a, f"{b} {b}", c]
+    assert tag_paths.main_blocks(f"<body><article><p>{a}</article><article><p>{b}</article></body>") == [a, b]
+    assert tag_paths.main_blocks(f"<body><main><h1>Title</h1><article><p>{b}</article></main></body>") == ["Title", b]
+    assert tag_paths.main_blocks(f"<body><div><p>{a}<ul><li><a href=/>a source</a></ul><p>{b}</div></body>") == [a, "a source", b]
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7x?q#f", "https://com/en/", "x://example.net/de/81", "x://m.example.net/de/9", "http://notcom/en/", "http://a.org/es/x", "http://a.org?/es/", "http://win-casino.example/adult/xxx", "ftp://h#x://y/z"]
     rows = [(i, u) for i, u in enumerate(urls)]
