@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sectorlens.llm import bpe, dart_minhash, decontam, langid, substring_dedup
 from sectorlens.llm.common import ensure_checkpoint_dir, read
 from sectorlens.llm.queries import tokenizer
+from sectorlens.llm.superkmers import row_key
 from sectorlens.session import ship
 
 #: Of the texts of a learnt language that many at most, as a share, are rejected: the least score of a language is this quantile of the scores of its labelled rows kept from learning.
@@ -39,11 +40,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows without an id stay. Repeated rows become one."""
+    """Keeps the first document of each group, by id and text hash; rows without an id stay. Rows equal in id and text become one."""
     ship(spark)
-    found = dart_minhash.near_duplicates(docs, class_id="_class")
-    first = found.where("doc_id is null or _class = doc_id").select(*docs.columns)
-    return first.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(first.where("doc_id is null"))
+    found = dart_minhash.near_duplicates(docs, class_id="_class", first="_first").where("doc_id is null or _first")
+    k1, k2 = row_key(found, "doc_id", "text")
+    first = found.where("doc_id is not null").select(*docs.columns, k1.alias("_k1"), k2.alias("_k2")).dropDuplicates(["_k1", "_k2"])
+    return first.select(*docs.columns).unionByName(found.where("doc_id is null").select(*docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

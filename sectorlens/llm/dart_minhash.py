@@ -19,9 +19,10 @@ Pairs are verified exactly on their shingles. Exact copies (equal words) are gro
 before and are not expanded into pairs.
 
 Cases: documents without words (null, empty) stay alone; under five words, the words
-are one shingle; rows with a null id are returned with a null class; rows that share
-an id share a class; an empty table gives an empty table; clashing column names are
-replaced; texts are read whole.
+are one shingle; rows with a null id are returned with a null class; documents are
+told apart by id and text, so rows that share an id but not the text have classes of
+their own; an empty table gives an empty table; clashing column names are replaced;
+texts are read whole.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import written, fresh
-from .superkmers import U, mix, word_values
+from .superkmers import U, mix, row_key, word_values
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the similarity shares a band with probability 1 - (1 - 0.8^7)^48, over 0.99998; one at 0.3 with 0.01.
@@ -142,10 +143,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_id: str = "class_id", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """The columns of docs plus class_id: the smallest id of the documents linked with it, directly or through others."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_id: str = "class_id", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, first: str | None = None) -> DataFrame:
+    """The columns of docs plus class_id: the smallest id of the documents linked with it, directly or through others; on request also whether the row is the first of them by id and text hash."""
     k = bands * rows
-    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    k2 = row_key(docs, doc_id, text)[1]
+    base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), k2.alias("t"), F.col(text).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -161,19 +163,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     h = mix(h * U(0x9E3779B97F4A7C15) ^ signed[:, :, j])
                 keys = pa.array([xxhash.xxh3_128_digest(" ".join(texts[i]).encode()) for i in at], pa.binary())
                 offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), keys, pa.array([int(n.sum()) for _, n in sets]), pa.ListArray.from_arrays(offsets, pa.array(h.ravel().view(np.int64))), pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * SKETCH, pa.array(sketches(sets).ravel().view(np.int64)))], ["id", "key", "size", "bands", "sketch"])
-
-    # one pass over the texts: an id, the key of its words, its band hashes and its sketch
-    read_once = written(base.mapInArrow(read, "id long, key binary, size long, bands array<long>, sketch array<long>"))
-    groups = read_once.groupBy("key").agg(F.min("id").alias("rep"))
-    members = read_once.select("id", "key").join(groups, "key").select("id", "rep").distinct()
-    signed = read_once.join(groups.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", F.explode("bands").alias("band"))
-    buckets = signed.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").select("band", "head")
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("t").take(pa.array(at)), keys, pa.array([int(n.sum()) for _, n in sets]), pa.ListArray.from_arrays(offsets, pa.array(h.ravel().view(np.int64))), pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * SKETCH, pa.array(sketches(sets).ravel().view(np.int64)))], ["id", "t", "key", "size", "bands", "sketch"])
+
+    # one pass over the texts: a number for the row, its id and text hash, the key of its words, its band hashes and its sketch
+    read_once = written(base.mapInArrow(read, "id long, t long, key binary, size long, bands array<long>, sketch array<long>").withColumn("node", F.monotonically_increasing_id()))
+    groups = read_once.groupBy("key").agg(F.min("node").alias("rep"), F.min(F.struct("id", "t")).alias("low"))
+    signed = read_once.join(groups.select("key", F.col("rep").alias("node")), ["key", "node"]).select("node", F.explode("bands").alias("band"))
+    buckets = signed.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
     met = written(signed.join(buckets, "band"))
-    known = read_once.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max(F.struct("size", "sketch", "bands")).alias("s")).select("id", "s.*")
-    named = lambda x: known.select(F.col("id").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    known = read_once.join(met.select("node").distinct(), "node", "left_semi")
+    named = lambda x: known.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
     fits = lambda pairs: pairs.join(named("a"), "a").join(named("b"), "b").where(may_reach(least, "a_", "b_")).select("a", "b")
-    stars = fits(met.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    stars = fits(met.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, tuple] = ("", (np.empty(0, U), np.empty(0, np.int64)))
@@ -185,28 +186,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 keep.append(similarity(*last[1], *shingles(split(b.lower()), words)) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    wanted = met.select("id").distinct()
+    wanted = known.select("node", "id", "t")
     if wanted.count() <= BROADCAST_ROWS:  # else both sides are shuffled
         wanted = F.broadcast(wanted)
-    texts = base.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))  # one text where an id repeats
+    texts = base.join(wanted, ["id", "t"]).groupBy("node").agg(F.min("text").alias("text"))  # a repeated row has its text once
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         return written(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
     links = linked(stars)
     comps = components(links)
-    placed = met.select("band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+    placed = met.select("band", "node").join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    left = written(placed.join(mixed, "band").distinct().join(known, "id"))
-    one, other = (left.select("band", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "comp", "size", "sketch", "bands"))) for x in "ab")
+    left = written(placed.join(mixed, "band").distinct().join(known, "node"))
+    one, other = (left.select("band", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "size", "sketch", "bands"))) for x in "ab")
     once = F.col("band") == F.coalesce(F.array_min(F.array_intersect("a_bands", "b_bands")), "band")  # of the bands that a pair shares, one makes it
-    pairs = one.join(other, "band").where("a_id < b_id and a_comp <> b_comp").where(may_reach(least, "a_", "b_") & once).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    pairs = one.join(other, "band").where("a_node < b_node and a_comp <> b_comp").where(may_reach(least, "a_", "b_") & once).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(linked(pairs))
-    comps = components(links).withColumnRenamed("node", "rep")
-    classes = members.join(comps, "rep", "left").groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("class"))
-    key, found = fresh(docs, "key", "found")
-    rest = [c for c in docs.columns if c.lower() != class_id.lower()]
-    out = docs.select(*rest, F.col(doc_id).cast("long").alias(key)).join(classes.select(F.col("id").alias(key), F.col("class").alias(found)), key, "left")
-    return out.select(*rest, F.coalesce(F.col(found), F.col(key)).alias(class_id))
+    comps = written(components(links).withColumnRenamed("node", "rep"))
+    lowest = comps.join(groups, "rep").groupBy("comp").agg(F.min("low").alias("lowest"))
+    lowest = comps.join(lowest, "comp").select("rep", "lowest")
+    members = read_once.select("id", "t", "key").join(groups, "key").join(lowest, "rep", "left")
+    classes = members.select("id", "t", F.coalesce("lowest", "low").alias("low")).select("id", "t", F.col("low.id").alias("class"), F.col("low.t").alias("class_t")).distinct()
+    key, sub, found, found_t = fresh(docs, "key", "sub", "found", "found_t")
+    rest = [c for c in docs.columns if c.lower() not in {class_id.lower(), (first or class_id).lower()}]
+    out = docs.select(*rest, F.col(doc_id).cast("long").alias(key), k2.alias(sub)).join(classes.select(F.col("id").alias(key), F.col("t").alias(sub), F.col("class").alias(found), F.col("class_t").alias(found_t)), [key, sub], "left")
+    is_first = F.when(F.col(key).isNotNull(), F.coalesce((F.col(found) == F.col(key)) & (F.col(found_t) == F.col(sub)), F.lit(True)))
+    return out.select(*rest, F.coalesce(F.col(found), F.col(key)).alias(class_id), *([is_first.alias(first)] if first else []))

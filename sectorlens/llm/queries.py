@@ -51,7 +51,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dart_minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+    return dart_minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), first="is_first").select("doc_id", "class_id", "is_first")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

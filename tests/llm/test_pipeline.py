@@ -33,3 +33,21 @@ def test_a_language_kept_from_learning_is_rejected(spark):
     assert sum(x.doc_id < 10**9 and x.lang is None for x in kept) < 0.05 * foreign.count()
     assert sum(x.doc_id < 10**9 and x.lang is not None for x in kept) > 0.98 * own.count()
     assert {x.doc_id for x in kept if x.doc_id >= 10**9} == {10**9, 10**9 + 1}
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    import random
+
+    from sectorlens.llm import dart_minhash
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(5)
+    x, y, z = (" ".join(f"w{r.randrange(500)}" for _ in range(80)) for _ in range(3))
+    rows = [(3, x), (5, f"{x} tail"), (5, y), (5, y), (7, f"{y} tail"), (9, z), (9, f"{z} tail"), (9, z.upper()), (11, ""), (11, "alone"), (None, x), (None, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as key", "1 as found")
+    got = {(g.doc_id, g.text): g.class_id for g in dart_minhash.near_duplicates(docs).collect()}
+    assert got == {row: {5: 3 if row[1] == f"{x} tail" else 5, 7: 5}.get(row[0], row[0]) for row in rows}
+    kept = [(k.doc_id, k.text) for k in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    nine = [k for k in kept if k[0] == 9]
+    assert len(nine) == 1
+    assert sorted((k for k in kept if k[0] != 9), key=str) == sorted([(3, x), (5, y), (11, ""), (11, "alone"), (None, x), (None, x)], key=str)
