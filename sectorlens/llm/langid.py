@@ -7,8 +7,8 @@ counted per language (popcounts by bit), each count is corrected by the rate at
 which that language's slice answers falsely, and the largest decides. The score
 is the share of the text's n-grams that the language contains, so corrected.
 
-The filter is learnt from at most `per_lang` labelled rows of each language (a
-bound, chosen by hash) and keeps at most `grams` n-grams a language, those in most
+The filter is learnt from at most `per_lang` labelled texts of each language (a
+bound; the distinct texts with the smallest hashes, so copies count once) and keeps at most `grams` n-grams a language, those in most
 sampled documents; its size is fixed by `bits` and doesn't grow with the input.
 
 Cases: a null text, or one without a letter, is `und` with score 0; rows without a
@@ -19,6 +19,8 @@ names are replaced; texts are read whole, in blocks.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,15 +115,25 @@ class BitSlicedFilter:
         return self.languages[best], float(shares[best])
 
 
+def sample(rows: DataFrame, per_lang: int) -> DataFrame:
+    """At most per_lang distinct texts of each language (columns text, lang): those with the smallest hashes. Two passes over the labels and hashes."""
+    hashed = rows.select("text", "lang", F.xxhash64("text").alias("h"))
+    counts = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    under = lambda bounds: functools.reduce(operator.or_, ((F.col("lang") == name) & (F.col("h") <= h) for name, h in bounds.items()), F.lit(False))
+    # a fifth more than wanted, for the error of the counts; then the exact bound
+    wide = {name: min(2**63 - 1, int(1.2 * per_lang / n * 2**64) - 2**63) for name, n in counts.items()}
+    found: dict[str, list[int]] = {}
+    for r in hashed.where(under(wide)).select("lang", "h").distinct().collect():
+        found.setdefault(r.lang, []).append(r.h)
+    return hashed.where(under({name: sorted(h)[:per_lang][-1] for name, h in found.items()})).dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 1500, grams_per_lang: int = 60_000, bits: int = 21) -> BitSlicedFilter:
-    """Only rows with a text and a label teach. Two passes: label counts, then the sampled rows."""
+    """Only rows with a text and a label teach, of those the sampled ones."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    names_seen = [r.lang for r in rows.select("lang").distinct().collect()]
+    if not names_seen:
         return BitSlicedFilter.build({}, 1)
-    keep = F.lit(False)
-    for name, n in counts.items():
-        keep = keep | ((F.col("lang") == name) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, per_lang / n))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[np.ndarray]] = {}
@@ -132,11 +144,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
             h, n = np.unique(np.concatenate(arrays), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "h", "n"])
 
-    known = rows.where(keep).mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    known = sample(rows, per_lang).mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     known = written(known)
     sizes = known.groupBy("lang", "n").agg(F.count("*").alias("k")).collect()
     least = F.lit(False)
-    for name in counts:
+    for name in names_seen:
         total, cut = 0, None
         for n, k in sorted(((r.n, r.k) for r in sizes if r.lang == name), reverse=True):
             total += k
@@ -148,7 +160,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
     table = known.where(least).select("lang", "h").toArrow()
     drop(known)
     names, hashes = np.array(table.column("lang").to_pylist(), dtype=object), table.column("h").to_numpy().view(np.uint64)
-    return BitSlicedFilter.build({name: hashes[names == name] for name in counts}, bits)
+    return BitSlicedFilter.build({name: hashes[names == name] for name in names_seen}, bits)
 
 
 def identify(docs: DataFrame, model: BitSlicedFilter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", keep_text: bool = True) -> DataFrame:

@@ -80,6 +80,13 @@ def test_language_on_held_out_rows(spark):
     assert {x.lang_pred for x in none.collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    for copied in ("one", "two", "three", "four"):
+        rows = [(copied, "xx")] * 1000 + [(f"text {i}", "xx") for i in range(2000)] + [(f"other {i % 50}", "yy") for i in range(300)] + [(copied, "yy")]
+        got = [(x.text, x.lang) for x in langid.sample(spark.createDataFrame(rows, "text string, lang string"), 200).collect()]
+        assert len(set(got)) == len(got) and Counter(lang for _, lang in got) == {"xx": 200, "yy": 51}
+
+
 LOW = str.maketrans(decontam.UPPER, decontam.LOWER)
 
 
