@@ -467,15 +467,16 @@ def gbdt_split_search(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gbdt_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = _training(spark, sf)
-    trees = gbdt.fit(rows, _FEATURES, "label", gbdt.Params(trees=2, depth=2))
-    return gbdt.predict(rows, trees).groupBy("label", "predicted").agg(F.count("*").alias("n"))
+    p = gbdt.Params(trees=8, depth=3)
+    trees = gbdt.fit(rows, _FEATURES, "label", p)
+    return gbdt.predict(rows, trees, p).groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 
 @query()
 def synthetic_panel_cells(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.metrics import entity_metrics
 
-    return release.kanon_gate(sector_ratios(entity_metrics(firm_panel(spark, 20_000))))
+    return release.kanon_gate(sector_ratios(entity_metrics(firm_panel(spark, 1_000_000))))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")

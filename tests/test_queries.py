@@ -32,3 +32,23 @@ def test_query(spark, oracle, name):
     assert sorted(df.columns) == columns
     want = sorted(tuple(repr(dict(zip(r.columns, x, strict=True))[c]) for c in columns) for x in r.fetchall())
     assert sorted(tuple(repr(x[c]) for c in columns) for x in rows) == want
+
+
+def test_the_panel_has_a_million_firms(spark):
+    from collections import Counter
+
+    rows = QUERIES["synthetic_panel_cells"](spark, SF).collect()
+    assert (len(rows), sum(x.released for x in rows)) == (180, 160)
+    firms = Counter()
+    for x in rows:
+        firms[x.metric] += x.n_valid
+    assert max(firms.values()) == 1_000_000
+
+
+def test_boosting_rounds_and_depth_of_the_reference(spark, monkeypatch):
+    from sectorlens.operators import gbdt
+
+    seen, fit = [], gbdt.fit
+    monkeypatch.setattr(gbdt, "fit", lambda rows, features, label, p: seen.append(p) or fit(rows, features, label, p))
+    assert sum(x.n for x in QUERIES["gbdt_predictions"](spark, SF).collect()) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert (seen[0].trees, seen[0].depth) == (8, 3)
