@@ -51,3 +51,71 @@ def test_rows_that_share_an_id_but_not_the_text(spark):
     nine = [k for k in kept if k[0] == 9]
     assert len(nine) == 1
     assert sorted((k for k in kept if k[0] != 9), key=str) == sorted([(3, x), (5, y), (11, ""), (11, "alone"), (None, x), (None, x)], key=str)
+
+
+def test_run_equals_a_plain_version(spark, tmp_path):
+    import random
+    import re
+    import zlib
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    from sectorlens.llm.queries import tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(11)
+    vocab = {lang: ["".join(r.choice(s) for _ in range(r.randrange(1, 4))) for _ in range(60)] for lang, s in {"xx": ["th", "er", "an", "ing"], "yy": ["zu", "kli", "mo", "pra"], "zz": ["th", "wex", "fud", "bov", "er"]}.items()}
+    make = lambda lang, n=100: [r.choice(vocab[lang]) for _ in range(n)]
+    rows = [(i, " ".join(make(lang)), lang) for i in range(200) for lang in ["xy"[i % 2] * 2]]
+    rows += [(300 + i, " ".join(make("zz")), None) for i in range(10)]
+    for i in range(10):  # near copies, a repeated passage, a benchmark item
+        w = rows[i][1].split()
+        w[i * 7] = "edit"
+        rows.append((400 + i, " ".join(w), rows[i][2]))
+    passage, item = make("xx", 45), make("yy", 14)
+    rows += [(500 + i, " ".join([*make("xx", 60), *passage, *make("xx", 10 * i)]), "xx") for i in range(4)] + [(510, " ".join(passage), "xx")]
+    rows += [(600 + i, " ".join([*make("yy", 50 + i), *item, *make("yy", 50)]), "yy") for i in range(3)]
+    rows += [rows[20], (21, " ".join(make("xx")), "xx"), (None, " ".join(make("yy")), "yy"), (700, "12 !!", "xx"), (701, None, "xx"), (702, " ".join(vocab["yy"][:2]), "yy"), (703, " ".join(make("zz", 3)), None)]
+    docs = spark.createDataFrame([(d, t, lang, "s", len(t or "")) for d, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def grams(t):
+        s = re.sub("[^a-z]+", " ", f" {t or ''} ".lower())
+        return [s[i : i + 5] for i in range(max(1, len(s) - 4))] if s.strip() else []
+
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    known = {lang: Counter(g for t in {t for d, t, x in rows if x == lang and t and not held(d)} for g in set(grams(t))) for lang in ("xx", "yy")}
+    judged = [(d, t, lang, max((sum(k[g] > 1 for g in grams(t)) / max(1, len(grams(t))), name) for name, k in known.items())) for d, t, lang in rows]
+    least = {name: min(s[0] for d, t, lang, s in judged if held(d) and lang == s[1] == name and len(t or "") >= 40) for name in known}
+    left = [(d, t) for d, t, lang, s in judged if grams(t) and (s[0] >= least[s[1]] or (len(t) < 40 and lang))]
+    assert {d for d, _ in left if d} >= {600, 601, 602, 702} and not {d for d, _ in left if d} & {*range(300, 310), 700, 701, 703}
+
+    alone = [x for x in left if x[0] is None]
+    left = sorted({x for x in left if x[0] is not None})
+    shingles = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for _, t in left)]
+    top = list(range(len(left)))
+    for i, x in enumerate(shingles):
+        for j in range(i):
+            if sum((x & shingles[j]).values()) >= 0.8 * sum((x | shingles[j]).values()):
+                low, high = sorted((top[i], top[j]))
+                top = [low if y == high else y for y in top]
+    left = [x for i, x in enumerate(left) if top[i] == i] + alone
+    assert not {d for d, _ in left if d} & set(range(400, 410)) and [d for d, _ in left].count(21) == 2
+
+    seen = Counter(tuple(w[i : i + 35]) for w in (t.split() for _, t in left) for i in range(len(w) - 34))
+    cut = []
+    for d, t in left:
+        w = t.split()
+        hit = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        if len(hit) < len(w):
+            cut.append((d, " ".join(x for i, x in enumerate(w) if i not in hit)))
+    assert len(cut) == len(left) - 1
+    windows = {tuple(item[i : i + 10]) for i in range(5)}
+    clean = [(d, t) for d, t in cut if not any(tuple(w[i : i + 10]) in windows for w in [t.split()] for i in range(len(w)))]
+    assert len(clean) == len(cut) - 3
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    want = [(d, len(t), library.encode(t, add_special_tokens=False).ids) for d, t in clean]
+    got = [(x.doc_id, x.n_chars, list(x.ids)) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
