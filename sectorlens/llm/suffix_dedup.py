@@ -1,9 +1,10 @@
-"""Repeated byte strings by prefix doubling over synchronised positions.
+"""Repeated byte strings by minimiser-anchored hash joins.
 
-Prefix doubling ranks positions by growing prefixes and lets a position go once its
-rank is unique. Ranking every byte would sort 16 bytes for each byte of text in
-every round, so the first round ranks only synchronised positions: the anchors of
-the 50-byte windows (see superkmers), which equal windows share at equal offsets.
+This stands in for distributed prefix doubling, which ranks positions by growing
+prefixes in rounds of sorts over pairs of ranks and lets a position go once its rank
+is unique. That would sort 16 bytes for each byte of text in every round. Here are no
+growing offsets, no pairs of ranks at an offset, no sort and no loop: three fixed
+rounds of hash joins over synchronised positions, the anchors of the 50-byte windows (see superkmers), which equal windows share at equal offsets.
 An anchor has 24 bytes and grows by half of a window's other bytes, before it or
 after it, wherever the window has more of them: 37 or 38 bytes. The rounds:
 
