@@ -1,15 +1,17 @@
-"""Repeated word spans by De Bruijn compaction.
+"""Repeated word spans by super-k-mer runs.
 
-The edges of the graph are windows of `length` words. Runs of edges with one
-anchor (see superkmers) are its paths: equal paths are compacted to one with a
-multiplicity, so the copies of a long passage meet as a few counted paths and not
+These stand in for De Bruijn compaction: there are no nodes, no test for branches and
+no join that compacts paths. The edges are windows of `length` words. Runs of edges
+of one document with one anchor (see superkmers) take the place of nonbranching
+paths: equal runs are counted as one with a multiplicity, so the copies of a long passage meet as a few counted paths and not
 as all their edges. Paths whose anchor occurs once hold no repeated edge and leave
 first. Where different paths share an anchor, one path of each kind is opened into
 its edges, and a join finds the edges that several kinds share. Repeated paths and
 edges return to their documents by coordinate, where they merge into maximal
 spans; every word of a span is removed, at all its occurrences.
 
-Equal windows are found by 128 bits (anchor and window hash), runs likewise.
+Equal windows are found by 128 bits (anchor and window hash), runs likewise; spans are
+not verified on the words afterwards.
 
 Cases: words are runs of anything but ASCII white space; null texts have none;
 texts under `length` words keep all; a repeated row repeats all its windows; an
