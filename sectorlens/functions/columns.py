@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .edges import linear_edges
+
 PEPPER = "sector-panel"
 WIDE = "decimal(38,0)"
 
@@ -24,10 +27,45 @@ def row_tag(entity: Column, period: Column, key: str, bin_bits: int = 13) -> tup
 
 
 def bucket_index(num: Column, den: Column, scale: int, edges: Sequence[int], included: Column) -> Column:
-    """The last edge with edge * den <= num * scale, within the buckets; 0 if excluded or den is 0. No division: exact."""
-    fits = F.filter(F.lit(list(edges)).cast("array<decimal(20,0)>"), lambda e: e * den.cast("decimal(18,0)") <= num.cast("decimal(18,0)") * F.lit(scale).cast("decimal(18,0)"))
-    inside = F.least(F.greatest(F.size(fits) - 1, F.lit(0)), F.lit(len(edges) - 2))
-    return F.when(F.coalesce(included & (den != 0), F.lit(False)), inside).otherwise(0)
+    """The last edge with edge * den <= num * scale, within the buckets; 0 if excluded or den is not positive.
+
+    With whole edges that is the last edge <= floor(num * scale / den): one 64-bit
+    division, decimal only where num * scale would pass 64 bits. Even edges give the
+    bucket in closed form; others start from the logarithm's guess, put right by
+    comparing whole edges, or by a lookup where the edges were forced apart.
+    """
+    if edges[0] < 0:
+        raise ValueError("edges must not be negative")
+    num, last = num.cast("long"), len(edges) - 2
+    den = F.when(den > 0, den.cast("long"))
+    whole = F.call_function("div", num * scale, den)
+    if scale > 1:
+        whole = F.when(num <= (2**63 - 1) // scale, whole).otherwise(F.least(whole_division(num.cast("decimal(20,0)") * scale, den), F.lit(edges[-1]).cast("decimal(38,0)")).cast("long"))
+    whole = F.greatest(F.least(F.when(num > 0, whole).otherwise(F.when(den.isNotNull(), 0)), F.lit(edges[-1])), F.lit(edges[0])).cast("long")
+    if list(edges) == linear_edges(edges[0], edges[-1], last + 1):
+        found = F.call_function("div", (whole - edges[0] + 1) * (last + 1) - 1, F.lit(edges[-1] - edges[0]).cast("long"))
+    else:
+        found = _logarithmic(whole, edges)
+    return F.when(F.coalesce(included & (num.isNotNull()) & den.isNotNull(), F.lit(False)), F.least(found, F.lit(last))).otherwise(0).cast("int")
+
+
+def _logarithmic(q: Column, edges: Sequence[int]) -> Column:
+    """The last of rising edges that is at most q, for q between the first and the last edge."""
+    b, span = len(edges) - 1, math.log(edges[-1] / edges[0])
+    at = lambda x: math.log(x / edges[0]) * b / span
+    # from this edge on, the guess is at most one off at every edge and just under the next, hence between them too
+    even = max([0, *(i + 1 for i in range(b) if at(edges[i]) < i - 0.9 or at(edges[i + 1] - 1) > i + 1.9)])
+    if edges[even] - edges[0] > 100_000:
+        raise ValueError("edges are neither even nor logarithmic")
+    place = F.least(F.greatest(F.floor(F.log(q / edges[0]) * (b / span)).cast("int"), F.lit(0)), F.lit(b - 1))
+    table = F.lit(list(edges))
+    found = place + (F.get(table, place + 1) <= q).cast("int") - (F.get(table, place) > q).cast("int")
+    if not even:
+        return found
+    starts, low = list(edges[: even + 1]), []
+    for i in range(even):
+        low += [i] * (starts[i + 1] - starts[i])
+    return F.when(q < edges[even], F.get(F.lit(low), (q - edges[0]).cast("int"))).otherwise(found)
 
 
 def midpoint(bucket: Column, edges: Sequence[int]) -> Column:
@@ -36,6 +74,18 @@ def midpoint(bucket: Column, edges: Sequence[int]) -> Column:
     return (F.element_at(table, at + 1) + F.element_at(table, at + 2)) / F.lit(2.0)
 
 
+def cents(x: Column) -> Column:
+    """Hundredths of a double, half away from zero."""
+    v = x * 100
+    return F.when(v < 0, -F.floor(-v + 0.5)).otherwise(F.floor(v + 0.5))
+
+
+def exact_sum(x: Column) -> Column:
+    """Sum of longs as decimal(38,0), added up as two halves in 64 bits; 0 over no values. Up to 2^31 rows a group."""
+    halves = F.sum(F.shiftright(x, 32)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.sum(x.bitwiseAND(0xFFFFFFFF)).cast("decimal(20,0)")
+    return F.coalesce(halves.cast(WIDE), F.lit(0).cast(WIDE)).cast(WIDE)
+
+
 def ratio(num: Column, den: Column) -> Column:
     """True division of two exact sums; null if the denominator is not positive."""
     return F.when(den > 0, num.cast("double") / den.cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import midpoint, ratio
+from ..functions.columns import WIDE, exact_sum, midpoint, ratio
 from ..schema import METRICS
 from .metrics import totals
 
@@ -13,8 +13,9 @@ CELL = ["sector", "period", "metric"]
 QUANTILES = (25, 50, 75, 90, 95, 99)
 
 
-def sector_ratios(metrics: DataFrame) -> DataFrame:
-    return totals(metrics, "sector", "period").withColumns({"incl": (F.col("n_valid") > 0).cast("int"), "ratio": ratio(F.col("sum_num"), F.col("sum_den"))})
+def sector_ratios(rows: DataFrame) -> DataFrame:
+    """rows: metrics in long form, or aligned rows (see totals)."""
+    return totals(rows, "sector", "period").withColumns({"incl": (F.col("n_valid") > 0).cast("int"), "ratio": ratio(F.col("sum_num"), F.col("sum_den"))})
 
 
 def histogram(metrics: DataFrame) -> DataFrame:
@@ -22,6 +23,17 @@ def histogram(metrics: DataFrame) -> DataFrame:
     return metrics.where("incl = 1").groupBy(*CELL, "bucket").agg(F.count("*").alias("cnt"))
 
 
+def by_bucket(metrics: DataFrame) -> DataFrame:
+    """Sums and counts per cell and bucket; excluded firms count as rows of bucket 0 with nothing in them. What cells need, from one pass over the firms."""
+    return metrics.groupBy(*CELL, "bucket").agg(exact_sum(F.col("num")).alias("sum_num"), exact_sum(F.col("den")).alias("sum_den"), F.sum("incl").alias("cnt"))
+
+
+def cells_with_percentiles(buckets: DataFrame, quantiles: tuple[int, ...] = QUANTILES) -> DataFrame:
+    """Per cell its sums, n_valid, ratio and percentiles, from by_bucket."""
+    cells = cdf(buckets).groupBy(*CELL).agg(F.sum("sum_num").cast(WIDE).alias("sum_num"), F.sum("sum_den").cast(WIDE).alias("sum_den"), F.max("total").alias("n_valid"), *(F.min(F.when((F.col("cnt") > 0) & (F.col("cum") >= target(q, F.col("total"))), F.col("bucket"))).alias(f"p{q}") for q in quantiles))
+    return cells.withColumns({"incl": (F.col("n_valid") > 0).cast("int"), "ratio": ratio(F.col("sum_num"), F.col("sum_den"))})
+
+
 def dense_histogram(hist: DataFrame, cells: DataFrame, buckets: int = 128) -> DataFrame:
     """hist as one array of counts for each of the given cells, zeros included."""
     by_cell = hist.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("m"))
@@ -63,8 +75,8 @@ def bucket_midpoints(hist: DataFrame) -> DataFrame:
     return hist.withColumn("midpoint", value)
 
 
-def reconcile(metrics: DataFrame) -> DataFrame:
-    """Per metric whether the cells' totals equal the global ones."""
-    cells = totals(metrics, "sector", "period").groupBy("metric").agg(*(F.sum(c).alias(f"cell_{c}") for c in ("sum_num", "sum_den", "n_valid")))
+def reconcile(rows: DataFrame) -> DataFrame:
+    """Per metric whether the cells' totals equal the global ones; rows as for totals."""
+    cells = totals(rows, "sector", "period").groupBy("metric").agg(*(F.sum(c).alias(f"cell_{c}") for c in ("sum_num", "sum_den", "n_valid")))
     same = (F.col("sum_num") == F.col("cell_sum_num")) & (F.col("sum_den") == F.col("cell_sum_den")) & (F.col("n_valid") == F.col("cell_n_valid"))
-    return totals(metrics).join(cells, "metric").select("metric", "n_valid", same.cast("int").alias("reconciled"))
+    return totals(rows).join(cells, "metric").select("metric", "n_valid", same.cast("int").alias("reconciled"))

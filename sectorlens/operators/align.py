@@ -14,25 +14,35 @@ GROWTH = {"a": "g_debt", "b": "g_income"}
 def align(lending: DataFrame, income: DataFrame, workforce: DataFrame, check: bool = False) -> DataFrame:
     """One row for each (entity, period) of any source: presence, every payload column, the reconciled sector and its conflict flag.
 
-    A union and one hash aggregate, so one shuffle for any number of sources. Correct
-    if each source holds a key once; `check` verifies that with one more pass.
+    Correct if each source holds a key once; `check` verifies that with one more pass.
     """
-    frames = dict(zip("abc", (lending, income, workforce), strict=True))
-    payload = {s: [*attributes, *([GROWTH[s]] if s in GROWTH and GROWTH[s] in frames[s].columns else [])] for s, attributes in SOURCES.items()}
-    long = None
-    for s, frame in frames.items():
+    parts = []
+    for s, frame in zip("abc", (lending, income, workforce), strict=True):
         if check:
             assert_unique(frame, KEYS)
-        part = frame.select(*KEYS, F.lit(1).alias(f"has_{s}"), F.col("sector").alias(f"sector_{s}"), *payload[s])
+        parts.append(frame.withColumns({f"has_{s}": F.lit(1), f"sector_{s}": F.col("sector")}))
+    return merge(parts)
+
+
+def merge(parts: list[DataFrame]) -> DataFrame:
+    """align for frames that hold one source or several: each has has_x, sector_x and the payload of its sources, null where a source has no row.
+
+    A union and one hash aggregate, so one shuffle for any number of sources.
+    """
+    columns, kept, long = [], [], None
+    for s, attributes in SOURCES.items():
+        payload = [*attributes, *([GROWTH[s]] if s in GROWTH and any(GROWTH[s] in p.columns for p in parts) else [])]
+        columns += [f"has_{s}", f"sector_{s}", *payload]
+        kept += payload
+    for p in parts:
+        part = p.select(*KEYS, *(c for c in columns if c in p.columns))
         long = part if long is None else long.unionByName(part, allowMissingColumns=True)
-    columns = [c for s in "abc" for c in (f"has_{s}", f"sector_{s}", *payload[s])]
     wide = long.groupBy(*KEYS).agg(*(F.max(c).alias(c) for c in columns))
-    sectors = F.array_compact(F.array("sector_a", "sector_b", "sector_c"))
-    kept = [c for s in "abc" for c in payload[s]]
+    conflict = lambda x, y: F.coalesce(F.col(f"sector_{x}") != F.col(f"sector_{y}"), F.lit(False))
     return wide.select(
         *KEYS,
         F.coalesce("sector_a", "sector_b", "sector_c").alias("sector"),
-        (F.size(F.array_distinct(sectors)) > 1).cast("int").alias("sector_conflict"),
+        (conflict("a", "b") | conflict("a", "c") | conflict("b", "c")).cast("int").alias("sector_conflict"),
         *(F.coalesce(f"has_{s}", F.lit(0)).alias(f"has_{s}") for s in "abc"),
         *kept,
     )

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.columns import canonical_id, whole_division
 
 
-def prepare(rows: DataFrame, attributes: dict[str, int]) -> DataFrame:
-    """entity_id, period, sector; per attribute its value (null unless valid), `_nm` (not missing) and `_ok` (valid); warnings."""
+def prepare(rows: DataFrame, attributes: dict[str, int], *kept: str) -> DataFrame:
+    """entity_id, period, sector, the columns named; per attribute its value (null unless valid), `_nm` (not missing) and `_ok` (valid); warnings."""
     columns, warnings = [], []
     for name, most in attributes.items():
         ok = F.coalesce(F.col(name).between(0, most), F.lit(False))
         columns += [F.when(ok, F.col(name)).alias(name), F.col(name).isNotNull().cast("int").alias(f"{name}_nm"), ok.cast("int").alias(f"{name}_ok")]
         warnings.append(F.when(F.col(name).isNull(), F.lit(f"{name}: missing")).when(~ok, F.lit(f"{name}: out of range")))
-    return rows.select(canonical_id(F.col("raw_entity_id")).alias("entity_id"), "period", "sector", *columns, F.array_join(F.array_compact(F.array(*warnings)), "; ").alias("warnings"))
+    return rows.select(canonical_id(F.col("raw_entity_id")).alias("entity_id"), "period", "sector", *kept, *columns, F.array_join(F.array_compact(F.array(*warnings)), "; ").alias("warnings"))
 
 
 def duplicates(rows: DataFrame, key: list[str], order: str) -> DataFrame:

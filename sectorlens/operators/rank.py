@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CORE, WEIGHTS
 
 
-def ranks(metrics: DataFrame, population: list[str] | None = None) -> DataFrame:
+def ranks(metrics: DataFrame, population: list[str] | None = None, prefix: int = 2) -> DataFrame:
     """Adds rank (0-based, by bucket and then entity; 0 if excluded), n_valid and score.
 
-    Ranks come from histogram offsets and a row number within each bucket, so no task
-    holds a whole population: the window is per (metric, population, bucket).
+    A firm's rank is the number of firms in the groups before its own and its place
+    among its group. A group is a bucket's firms whose ids share their first
+    characters, so it keeps the order and a bucket that holds most of a population is
+    spread over many tasks; excluded firms are dealt out by their ids. The groups'
+    counts are one small aggregate, whose table stands for all offsets and n_valid.
     """
     by = ["metric", *(population or ["sector", "period"])]
-    counts = metrics.where("incl = 1").groupBy(*by, "bucket").agg(F.count("*").alias("in_bucket"))
-    up = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(*by, "bucket", (F.sum("in_bucket").over(up) - F.col("in_bucket")).alias("below"), F.sum("in_bucket").over(Window.partitionBy(*by)).alias("n_valid"))
-    place = Window.partitionBy(*by, "bucket", "incl").orderBy("entity_id")
-    placed = metrics.withColumn("place", F.row_number().over(place) - 1).join(offsets.drop("n_valid"), [*by, "bucket"], "left").join(offsets.select(*by, "n_valid").distinct(), by, "left")
-    rank = F.when(F.col("incl") == 1, F.col("below") + F.col("place")).otherwise(0).cast("long")
-    n = F.coalesce("n_valid", F.lit(0).cast("long"))
-    return placed.select(*metrics.columns, rank.alias("rank"), n.alias("n_valid"), F.when(F.col("incl") == 1, rank.cast("double") / F.greatest(n - 1, F.lit(1)).cast("double")).otherwise(0.0).alias("score"))
+    grouped = metrics.withColumn("_g", F.when(F.col("incl") == 1, F.substring("entity_id", 1, prefix)).otherwise(F.concat(F.lit("-"), F.substring("entity_id", -prefix, prefix))))
+    counts = grouped.groupBy(*by, "bucket", "incl", "_g").agg(F.count("*").alias("_n"))
+    own = F.when(F.col("incl") == 1, F.col("_n")).otherwise(0)
+    whole = Window.partitionBy(*by)
+    up = whole.orderBy("incl", "bucket", "_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select(*by, "bucket", "incl", "_g", (F.sum(own).over(up) - own).alias("_below"), F.sum(own).over(whole).cast("long").alias("n_valid"))
+    key = [*by, "bucket", "incl", "_g"]
+    placed = grouped.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("entity_id")) - 1)
+    same = functools.reduce(operator.and_, (placed[c].eqNullSafe(offsets[c]) for c in key))
+    joined = placed.join(offsets, same).select(*(placed[c] for c in metrics.columns), "_below", "_place", "n_valid")
+    rank = F.when(F.col("incl") == 1, F.col("_below") + F.col("_place")).otherwise(0).cast("long")
+    return joined.select(*metrics.columns, rank.alias("rank"), "n_valid", F.when(F.col("incl") == 1, rank.cast("double") / F.greatest(F.col("n_valid") - 1, F.lit(1)).cast("double")).otherwise(0.0).alias("score"))
 
 
 def composite(ranked: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import WIDE, ratio, uniform_from
 from ..schema import METRICS
-from .aggregate import CELL, dense_histogram, histogram, percentiles, sector_ratios
+from .aggregate import CELL, QUANTILES, by_bucket, cells_with_percentiles, dense_histogram, histogram, sector_ratios
 from .privacy import BudgetExceeded, RhoBudget, gaussian, sigma
 
 #: Cells that a noisy release draws on the driver at most.
@@ -24,17 +24,18 @@ def clip_contributions(metrics: DataFrame, num_max: int, den_max: int) -> DataFr
     return metrics.withColumns({"num": F.when(F.col("num").isNotNull(), bound("num", num_max)), "den": F.when(F.col("den").isNotNull(), bound("den", den_max))})
 
 
-def kanon_gate(cells: DataFrame, k: int = 5) -> DataFrame:
-    """Cells of fewer than k firms stay as rows of zeros. k under 1 counts as 1."""
+def kanon_gate(cells: DataFrame, k: int = 5, *kept: str) -> DataFrame:
+    """Cells of fewer than k firms stay as rows of zeros. k under 1 counts as 1. Other columns go, but for those named."""
     passed = F.col("n_valid") >= max(1, k)
     zero = F.lit(0)
-    return cells.select(*CELL, passed.cast("int").alias("released"), *(F.when(passed, F.col(c)).otherwise(zero.cast(WIDE)).cast(WIDE).alias(c) for c in ("sum_num", "sum_den")), F.when(passed, F.col("n_valid")).otherwise(zero).cast("long").alias("n_valid"), F.when(passed, ratio(F.col("sum_num"), F.col("sum_den"))).alias("ratio"))
+    return cells.select(*CELL, passed.cast("int").alias("released"), *(F.when(passed, F.col(c)).otherwise(zero.cast(WIDE)).cast(WIDE).alias(c) for c in ("sum_num", "sum_den")), F.when(passed, F.col("n_valid")).otherwise(zero).cast("long").alias("n_valid"), F.when(passed, ratio(F.col("sum_num"), F.col("sum_den"))).alias("ratio"), *kept)
 
 
 def exact_release(metrics: DataFrame, k: int = 5) -> DataFrame:
-    """Gated cells with percentiles: deterministic, no noise. Labelled apart from the private release."""
-    gated = kanon_gate(sector_ratios(metrics), k)
-    return gated.join(percentiles(histogram(metrics)).drop("n_valid"), CELL, "left").select(*gated.columns, *(F.when(F.col("released") == 1, F.col(f"p{q}")).otherwise(0).alias(f"p{q}") for q in (25, 50, 75, 90, 95, 99)))
+    """Gated cells with percentiles, from one aggregate by bucket: deterministic, no noise. Labelled apart from the private release."""
+    cells = cells_with_percentiles(by_bucket(metrics))
+    gated = kanon_gate(cells.select("*", F.struct(*(f"p{q}" for q in QUANTILES)).alias("_p")), k, "_p")
+    return gated.select(*(c for c in gated.columns if c != "_p"), *(F.when(F.col("released") == 1, F.col(f"_p.p{q}")).otherwise(0).alias(f"p{q}") for q in QUANTILES))
 
 
 def seeded_gaussian(s: float, *key: Column | str) -> Column:

@@ -140,7 +140,7 @@ def dup_entity_period(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PREP} SELECT entity_id, period, g_debt FROM a")
 def period_growth(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.sources(spark, sf)[0].select("entity_id", "period", "g_debt")
+    return panel.lending(spark, sf).select("entity_id", "period", "g_debt")
 
 
 @query(f"WITH {ALIGNED} SELECT * FROM al")
@@ -175,37 +175,37 @@ def row_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{LONG} SELECT entity_id, period, sector, metric, num, den, incl FROM m")
 def inclusion_long(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.metrics(spark, sf).drop("bucket")
+    return panel.metrics(spark, sf, buckets=False)
 
 
 @query(f"{LONG} SELECT metric, CAST(sum(incl) AS BIGINT) AS included, CAST(sum(1 - incl) AS BIGINT) AS live_but_excluded FROM m GROUP BY metric")
 def inclusion_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return inclusion_audit(panel.metrics(spark, sf))
+    return inclusion_audit(panel.aligned(spark, sf))
 
 
 @query(f"{LONG} SELECT *, CAST(core_available = 4 AS INTEGER) AS incl_strict, CAST(core_available >= 1 AS INTEGER) AS incl_renorm FROM (SELECT entity_id, period, CAST(sum(CASE WHEN metric IN ('DTI', 'DSI', 'Delq', 'NPL') THEN incl ELSE 0 END) AS BIGINT) AS core_available FROM m GROUP BY ALL)")
 def coverage_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage(panel.metrics(spark, sf))
+    return coverage(panel.metrics(spark, sf, buckets=False))
 
 
 @query(f"{LONG} {_totals_sql('')}")
 def global_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    return totals(panel.metrics(spark, sf))
+    return totals(panel.aligned(spark, sf))
 
 
 @query(f"{LONG} SELECT *, CAST(n_valid > 0 AS INTEGER) AS incl, {RATIO} FROM ({_totals_sql('sector, period, ')})")
 def sector_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return sector_ratios(panel.metrics(spark, sf))
+    return sector_ratios(panel.aligned(spark, sf))
 
 
 @query(f"{LONG} SELECT sector, period, {', '.join(f'max(CASE WHEN metric = {chr(39)}{m.name}{chr(39)} THEN ratio END) AS {m.name.lower()}' for m in METRICS)} FROM (SELECT *, {RATIO} FROM ({_totals_sql('sector, period, ')})) GROUP BY ALL")
 def sector_ratio_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return sector_ratios(panel.metrics(spark, sf)).groupBy("sector", "period").agg(*(F.max(F.when(F.col("metric") == m.name, F.col("ratio"))).alias(m.name.lower()) for m in METRICS))
+    return sector_ratios(panel.aligned(spark, sf)).groupBy("sector", "period").agg(*(F.max(F.when(F.col("metric") == m.name, F.col("ratio"))).alias(m.name.lower()) for m in METRICS))
 
 
 @query(f"{LONG} SELECT metric, CAST(sum(incl) AS BIGINT) AS n_valid, 1 AS reconciled FROM m GROUP BY metric")
 def reconcile_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return reconcile(panel.metrics(spark, sf))
+    return reconcile(panel.aligned(spark, sf))
 
 
 @query(f"{LONG} SELECT entity_id, period, metric, incl, bucket FROM m")
@@ -280,7 +280,7 @@ def window_ends(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{GATE} {_GATED}")
 def kanon_release(spark: SparkSession, sf: str) -> DataFrame:
-    return release.kanon_gate(sector_ratios(panel.metrics(spark, sf)))
+    return release.kanon_gate(sector_ratios(panel.aligned(spark, sf)))
 
 
 @query(f"{GATE}, g AS ({_GATED}), p AS (SELECT sector, period, metric, {PCT} FROM f GROUP BY sector, period, metric) SELECT g.*, {', '.join(f'CASE WHEN released = 1 THEN p{q} ELSE 0 END AS p{q}' for q in (25, 50, 75, 90, 95, 99))} FROM g LEFT JOIN p USING (sector, period, metric)")
@@ -309,7 +309,7 @@ def _cover_sql() -> str:
 
 @query(_cover_sql())
 def cover_firms_seeded(spark: SparkSession, sf: str) -> DataFrame:
-    return release.cover_firms(totals(panel.metrics(spark, sf), "sector", "period"), 3, 15, "seed").select(*CELL, "n_valid", "n_covered")
+    return release.cover_firms(totals(panel.aligned(spark, sf), "sector", "period"), 3, 15, "seed").select(*CELL, "n_valid", "n_covered")
 
 
 @query()
@@ -474,9 +474,7 @@ def gbdt_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def synthetic_panel_cells(spark: SparkSession, sf: str) -> DataFrame:
-    from .operators.metrics import entity_metrics
-
-    return release.kanon_gate(sector_ratios(entity_metrics(firm_panel(spark, 1_000_000))))
+    return release.kanon_gate(sector_ratios(firm_panel(spark, 1_000_000)))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
