@@ -8,31 +8,34 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import CORE, WEIGHTS
+from ..schema import BUCKETS, CORE, WEIGHTS
 
 
-def ranks(metrics: DataFrame, population: list[str] | None = None, prefix: int = 2) -> DataFrame:
+def ranks(metrics: DataFrame, population: list[str] | None = None, buckets: int = BUCKETS, prefix: int = 1) -> DataFrame:
     """Adds rank (0-based, by bucket and then entity; 0 if excluded), n_valid and score.
 
     A firm's rank is the number of firms in the groups before its own and its place
-    among its group. A group is a bucket's firms whose ids share their first
-    characters, so it keeps the order and a bucket that holds most of a population is
-    spread over many tasks; excluded firms are dealt out by their ids. The groups'
-    counts are one small aggregate, whose table stands for all offsets and n_valid.
+    among its group. A group is a bucket; the outermost buckets, where clamped values
+    pile up, and excluded firms are split by the ids' first characters, which keeps the
+    order. The firms are dealt out by group once: the groups' counts and the places
+    are both taken from that one exchange, so the plan before it runs once.
     """
     by = ["metric", *(population or ["sector", "period"])]
-    grouped = metrics.withColumn("_g", F.when(F.col("incl") == 1, F.substring("entity_id", 1, prefix)).otherwise(F.concat(F.lit("-"), F.substring("entity_id", -prefix, prefix))))
-    counts = grouped.groupBy(*by, "bucket", "incl", "_g").agg(F.count("*").alias("_n"))
+    kinds = dict(metrics.dtypes)
+    names = [f"_k{i}" for i in range(len(by))]
+    key = [*names, "bucket", "incl", "_g"]
+    split = F.when((F.col("incl") == 0) | F.col("bucket").isin(0, buckets - 1), F.substring("entity_id", 1, prefix)).otherwise(F.lit(""))
+    dealt = metrics.withColumns({"_g": split, **{n: F.coalesce(F.col(c), F.lit(-(2**31) if kinds[c] == "int" else "-").cast(kinds[c])) for n, c in zip(names, by, strict=True)}}).repartition(*key)
+    whole = F.xxhash64(*dealt.columns)  # the count reads all columns, so that both readers want the same exchange
+    counts = dealt.groupBy(*key).agg(F.count_if((whole >= 0) | (whole < 0)).alias("_n"))
     own = F.when(F.col("incl") == 1, F.col("_n")).otherwise(0)
-    whole = Window.partitionBy(*by)
-    up = whole.orderBy("incl", "bucket", "_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(*by, "bucket", "incl", "_g", (F.sum(own).over(up) - own).alias("_below"), F.sum(own).over(whole).cast("long").alias("n_valid"))
-    key = [*by, "bucket", "incl", "_g"]
-    placed = grouped.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("entity_id")) - 1)
-    same = functools.reduce(operator.and_, (placed[c].eqNullSafe(offsets[c]) for c in key))
-    joined = placed.join(offsets, same).select(*(placed[c] for c in metrics.columns), "_below", "_place", "n_valid")
+    cell = Window.partitionBy(*names)
+    up = cell.orderBy("incl", "bucket", "_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select(*(F.col(c).alias(f"o{c}") for c in key), (F.sum(own).over(up) - own).alias("_below"), F.sum(own).over(cell).cast("long").alias("n_valid"))
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("entity_id")) - 1)
+    same = functools.reduce(operator.and_, (F.col(c) == F.col(f"o{c}") for c in key))
     rank = F.when(F.col("incl") == 1, F.col("_below") + F.col("_place")).otherwise(0).cast("long")
-    return joined.select(*metrics.columns, rank.alias("rank"), "n_valid", F.when(F.col("incl") == 1, rank.cast("double") / F.greatest(F.col("n_valid") - 1, F.lit(1)).cast("double")).otherwise(0.0).alias("score"))
+    return placed.join(offsets, same).select(*metrics.columns, rank.alias("rank"), "n_valid", F.when(F.col("incl") == 1, rank.cast("double") / F.greatest(F.col("n_valid") - 1, F.lit(1)).cast("double")).otherwise(0.0).alias("score"))
 
 
 def composite(ranked: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
