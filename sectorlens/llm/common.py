@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,16 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give a worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -1,30 +1,31 @@
-"""Repeated byte strings by minimiser-anchored hash joins.
-
-This stands in for distributed prefix doubling, which ranks positions by growing
-prefixes in rounds of sorts over pairs of ranks and lets a position go once its rank
-is unique. That would sort 16 bytes for each byte of text in every round. Here are no
-growing offsets, no pairs of ranks at an offset, no sort and no loop: three fixed
-rounds of hash joins over synchronised positions, the anchors of the 50-byte windows (see superkmers), which equal windows share at equal offsets.
-An anchor has 24 bytes and grows by half of a window's other bytes, before it or
-after it, wherever the window has more of them: 37 or 38 bytes. The rounds:
-
-1. Anchor ranks. Blocks of documents send their distinct anchors, sorted and
-   delta-coded, to buckets by leading bits; anchors that only one document holds
-   leave with all windows they stand for. A block sends an anchor once, however
-   many of its documents hold it.
-2. Rank pairs (anchor, rank of the whole run around it). Runs equal in both have
-   equal windows: all but the smallest document's go at once. Runs that are alone
-   with their anchor leave.
-3. Where different runs share an anchor, the smallest document's run of each kind
-   is opened and its positions are ranked at the full threshold of 50 bytes.
-
-Ranks are hashes of the bytes rather than ordinals: they are equal exactly if the
-strings are (128 bits in rounds 2 and 3), which is all that is asked of them.
+"""Repeated byte strings by prefix doubling over the positions that may still repeat.
+
+Positions are ranked by growing prefixes, and a position leaves as soon as its rank
+is its own. Doubling from one byte would sort every byte position in every round; here
+it starts at 24 bytes and, until the last round, at one position for each half run:
+the anchor that neighbouring 50-byte windows share (see superkmers). A window repeats
+only if its anchor does, at the same offset. Ranks are 64-bit hashes of the bytes
+rather than ordinals: equal exactly if the strings are, which is all that is asked.
+
+1. Anchors, 24 bytes grown by half of a window's other bytes to 37 or 38. Blocks of
+   documents send their distinct anchors, sorted and delta-coded, to buckets by
+   leading bits; the buckets tell each block which of them other blocks hold too.
+   Half runs whose anchor only one document holds leave.
+2. Pairs (anchor, content of the half run). Equal pairs have equal windows: all but
+   the smallest document's go at once. Pairs that are alone with their anchor leave.
+3. Where different half runs share an anchor, the smallest document's one of each kind
+   is opened into its windows, and Spark sorts the pairs (rank of the first 25 bytes,
+   rank of the 25 bytes at offset 25): the doubling step that passes the threshold.
+
+Documents travel as compressed blocks, written once; rounds exchange ranks, and every
+block sends a rank at most once with the smallest id that it has there, so that no
+rank, however common, has more rows than there are blocks. Decisions return to blocks
+by number.
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller
 id. Cases: null texts count as empty; texts under 50 bytes keep all; null ids sort
-before all others and rows with equal ids don't remove each other; an empty table
-gives an empty table; clashing column names are replaced.
+before all others and rows with equal ids don't remove each other; ids must be whole
+numbers; an empty table gives an empty table; clashing column names are replaced.
 """
 
 from __future__ import annotations
@@ -34,17 +35,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import drop, written
-from .superkmers import U, Windows, byte_values, covered, row_key
+from .common import drop, trim, written
+from .superkmers import U, Windows, block_runs, byte_values, chunks
 
 LENGTH, ANCHOR = 50, 24
-#: Anchors of a block of documents, a bound of a Python worker's memory.
-BLOCK = 700_000
+#: Bytes of text of a block, a bound of a Python worker's memory (a longer text is a block of its own).
+BLOCK = 4_000_000
+#: Blocks whose anchors, on average, meet in one bucket.
+BLOCKS_A_BUCKET = 4
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -59,199 +62,256 @@ def unpack(data: bytes) -> np.ndarray:
     return planes.reshape(8, n).T.copy().view(np.uint64).ravel()
 
 
-def stretches(x: np.ndarray) -> list[tuple[int, int]]:
-    """Bounds of the stretches of equal values of a sorted array."""
-    cuts = np.flatnonzero(np.diff(x)) + 1 if len(x) else np.empty(0, np.int64)
-    edges = [0, *cuts.tolist(), len(x)]
-    return [(i, j) for i, j in zip(edges[:-1], edges[1:], strict=True) if i < j]
+def pack_all(*arrays: np.ndarray) -> bytes:
+    parts = [pack(x.astype(np.int64)) for x in arrays]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
-def windows(data: bytes, length: int = LENGTH) -> Windows:
-    return Windows(byte_values(data), length, min(ANCHOR, max(1, length // 2)))
+def unpack_all(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(unpack(data[at + 8 : at + 8 + n]).view(np.int64))
+        at += 8 + n
+    return out
 
 
-def shared_anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(k1, anchors): anchors (packed) of documents that another document holds too; an upper bound if ids repeat."""
-    shift = U(64 - max(1, (buckets - 1).bit_length()))
+def batch_bytes(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as w:
+        for b in batches:
+            w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def texts_of(table: pa.Table) -> list[bytes]:
+    return [t.encode() for t in table.column("text").to_pylist()]
+
+
+def to_blocks(docs: DataFrame) -> DataFrame:
+    """(data, block): rows of docs, which has a text column, as compressed record batches of about BLOCK bytes of text."""
 
-    def send(keys: list[int], anchors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        ids = np.array(keys, np.int64)
-        doc = np.repeat(np.arange(len(ids)), [len(a) for a in anchors])
-        flat = np.concatenate(anchors)
-        order = np.argsort(flat, kind="stable")
-        flat, doc = flat[order], doc[order]
-        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        several = np.diff(np.r_[first, len(flat)]) > 1
-        own = np.repeat(several, np.diff(np.r_[first, len(flat)]))
-        out: list[tuple[int, int, bytes, bytes]] = []
-        by_doc = np.argsort(doc[own], kind="stable")
-        a, d = flat[own][by_doc], doc[own][by_doc]
-        for i, j in stretches(d):
-            out.append((int(ids[d[i]] % buckets), int(ids[d[i]]), a[i:j].tobytes(), b""))
-        a, d = flat[first], np.where(several, 0, doc[first] + 1)
-        part = (a >> shift).astype(np.int64)
-        ends = np.searchsorted(part, np.arange(part.max() + 2)) if len(part) else np.zeros(1, np.int64)
-        for b in range(len(ends) - 1):
-            i, j = ends[b], ends[b + 1]
-            if i < j:
-                known, place = np.unique(d[i:j], return_inverse=True)  # 0 stands for documents that have been told
-                block = [pack(np.diff(a[i:j], prepend=U(0))), pack(place)]
-                own = np.where(known > 0, ids[np.maximum(known - 1, 0)], 0)
-                directory = pack(np.diff(own, prepend=0).view(np.uint64))
-                out.append((b % buckets, 0, len(block[0]).to_bytes(8, "little") + block[0] + block[1], (b"\1" if known[0] == 0 else b"\0") + directory))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "k1", "data", "directory"])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-        anchors: list[np.ndarray] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         size = 0
-        for batch in (part for big in batches for part in slices(big, "text")):
-            for key, text in zip(batch.column("k1").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                a = np.unique(windows(text.encode(), length).half_runs().anchor.view(np.uint64))
-                if len(a):
-                    keys.append(key)
-                    anchors.append(a)
-                    size += len(a)
-                if size >= BLOCK:
-                    yield from send(keys, anchors)
-                    keys, anchors, size = [], [], 0
-        if keys:
-            yield from send(keys, anchors)
+        for batch in (part for big in batches for part in slices(big, "text", BLOCK)):
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= BLOCK // 2:
+                yield pa.RecordBatch.from_arrays([pa.array([batch_bytes(held)], pa.binary())], ["data"])
+                held, size = [], 0
+                trim()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([batch_bytes(held)], pa.binary())], ["data"])
+
+    return docs.mapInArrow(run, "data binary").withColumn("block", F.monotonically_increasing_id())
+
+
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by the keys, the last one first, and where in it a new pair of the last two keys begins."""
+    order = np.lexsort(keys)
+    a, b = keys[-1][order], keys[-2][order]
+    return order, np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.empty(0, np.int64)
+
+
+def several_texts(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Sorted anchors that more than one text of a block holds."""
+    order = np.lexsort((doc, anchor))
+    a, d = anchor[order], doc[order]
+    return np.unique(a[1:][(a[1:] == a[:-1]) & (d[1:] != d[:-1])])
+
+
+def shared_anchors(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(block, anchors): packed anchors of a block that another block holds too; a row for each block and bucket at most."""
+    shift = U(64 - max(1, (buckets - 1).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                a = np.unique(block_runs(texts_of(opened(data.as_py())), length, anchor_size(length))[3].view(np.uint64))
+                part = (a >> shift).astype(np.int64)
+                ends = np.searchsorted(part, np.arange(part.max() + 2)) if len(a) else np.zeros(1, np.int64)
+                out = [(b % buckets, block, pack(np.diff(a[i:j], prepend=U(0)))) for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "block", "data"])
+                trim()
 
     def meet(table: pa.Table) -> pa.Table:
-        """A bucket: which anchors several blocks hold, told to the documents that hold them."""
-        keys, found, parts = [], [], []
-        for key, data, directory in zip(*(table.column(c) for c in ("k1", "data", "directory")), strict=True):
-            data, directory = data.as_py(), directory.as_py()
-            if not directory:
-                keys.append(key.as_py())
-                found.append(data)
+        ids = table.column("block").to_numpy()
+        parts = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in table.column("data")]
+        a, at = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        parts.clear()
+        order = np.argsort(a, kind="stable")
+        a, at = a[order], at[order]
+        # a block whose anchors reach one bucket in two parts has none of them twice
+        again = a[1:] == a[:-1]
+        keep = np.r_[False, again] | np.r_[again, False]
+        a, at = a[keep], at[keep]
+        order = np.argsort(at, kind="stable")
+        a, at = a[order], at[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+        ends = np.r_[first[1:], len(at)]
+        return pa.table({"block": pa.array(ids[at[first]], pa.int64()), "anchors": pa.array([pack(np.diff(a[i:j], prepend=U(0))) for i, j in zip(first, ends, strict=False)], pa.binary())})
+
+    return blocks.mapInArrow(send, "bucket int, block long, data binary").groupBy("bucket").applyInArrow(meet, "block long, anchors binary")
+
+
+def anchor_size(length: int) -> int:
+    return min(ANCHOR, max(1, length // 2))
+
+
+RANKS = "block long, j int, x long, y long, low long, state binary"
+
+
+def ranks_of(block: int, x: np.ndarray, y: np.ndarray, low: np.ndarray, state: bytes) -> Iterator[pa.RecordBatch]:
+    """A block's distinct pairs of ranks by number, and what it needs to know of them later."""
+    names = ["block", "j", "x", "y", "low", "state"]
+    one = lambda kind: pa.array([None], kind)
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(pa.int32()), one(pa.int64()), one(pa.int64()), one(pa.int64()), pa.array([state], pa.binary())], names)
+    for i in range(0, len(x), 100_000):
+        part = slice(i, i + 100_000)
+        n = len(x[part])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(i, i + n, dtype=np.int32)), pa.array(x[part].view(np.int64)), pa.array(y[part].view(np.int64)), pa.array(low[part]), pa.nulls(n, pa.binary())], names)
+
+
+def runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Round 2: of each block the half runs whose anchors another document holds, as pairs (anchor, content)."""
+    for batch in batches:
+        for block, data, replies in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("anchors"), strict=True):
+            table = opened(data.as_py())
+            doc, start, count, anchor, content = block_runs(texts_of(table), length, anchor_size(length))
+            shared = np.unique(np.concatenate([several_texts(doc, anchor).view(np.uint64), *(np.cumsum(unpack(x), dtype=np.uint64) for x in replies.as_py() or ())]))
+            if not len(shared):
                 continue
-            n = int.from_bytes(data[:8], "little")
-            place = unpack(data[8 + n :]).astype(np.int64)
-            ids = np.cumsum(unpack(directory[1:]).view(np.int64))
-            told = place == 0 if directory[:1] == b"\1" else np.zeros(len(place), bool)
-            parts.append((np.cumsum(unpack(data[8 : 8 + n]), dtype=np.uint64), ids[place], ~told))
-        if parts:
-            a, k, tell = map(np.concatenate, zip(*parts, strict=True))
-            parts.clear()
-            order = np.argsort(a, kind="stable")
-            a, k, tell = a[order], k[order], tell[order]
-            again = a[1:] == a[:-1]
-            keep = (np.r_[False, again] | np.r_[again, False]) & tell
-            a, k = a[keep], k[keep]
-            order = np.argsort(k, kind="stable")
-            a, k = a[order], k[order]
-            for i, j in stretches(k):
-                keys.append(int(k[i]))
-                found.append(a[i:j].tobytes())
-        return pa.table({"k1": pa.array(keys, pa.int64()), "anchors": pa.array(found, pa.binary())})
-
-    sent = rows.mapInArrow(blocks, "bucket int, k1 long, data binary, directory binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "k1 long, anchors binary").groupBy("k1").agg(F.collect_list("anchors").alias("anchors"))
+            a = anchor.view(np.uint64)
+            keep = shared[np.minimum(np.searchsorted(shared, a), len(shared) - 1)] == a
+            doc, start, count, anchor, content = (v[keep] for v in (doc, start, count, anchor, content))
+            k1 = table.column("k1").to_numpy()[doc]
+            order, first = grouped(k1, content, anchor)
+            doc, p = doc[order], (start * 1024 + count)[order]
+            yield from ranks_of(block, anchor[order][first], content[order][first], k1[order][first], pack_all(first, doc, p))
+            trim()
+
+
+def told(codes: list[int] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions on a block's n pairs: whether each goes, whether it is to be opened."""
+    out = np.zeros((2, n), bool)
+    if codes:
+        c = np.array(codes, np.int64)
+        out[c % 2, c // 2] = True
+    return out[0], out[1]
+
+
+def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Round 3: the windows of the half runs to be opened, as pairs (rank of the first half, rank of the last half)."""
+    half = length - length // 2
+    for batch in batches:
+        for block, data, state, codes in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("state"), batch.column("codes").to_pylist(), strict=True):
+            first, doc, p = unpack_all(state.as_py())
+            kind = np.flatnonzero(told(codes, len(first))[1])
+            table = opened(data.as_py())
+            texts, k1 = texts_of(table), table.column("k1").to_numpy()
+            run = first[kind]
+            order = np.argsort(doc[run], kind="stable")
+            kind, run = kind[order], run[order]
+            found = []
+            for i, j in chunks(texts):
+                low, high = np.searchsorted(doc[run], [i, j])
+                if low == high:
+                    continue
+                sizes = np.array([len(t) for t in texts[i:j]], np.int64)
+                w = Windows(byte_values(b"".join(texts[i:j])), length, 1)
+                base = np.cumsum(sizes) - sizes
+                n = p[run[low:high]] % 1024
+                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(base[doc[run[low:high]] - i] + p[run[low:high]] // 1024, n) + off
+                found.append((np.repeat(kind[low:high], n), off, w.span_hash(at, at + half).view(np.int64), w.span_hash(at + length - half, at + length).view(np.int64)))
+            kind, off, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+            low = k1[doc[first[kind]]]
+            order, begin = grouped(low, y, x)
+            yield from ranks_of(block, x[order][begin], y[order][begin], low[order][begin], pack_all(begin, kind[order], off[order]))
+            trim()
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept", n_bytes: str = "n_bytes", n_removed: str = "n_removed", spans: str = "spans", length: int = LENGTH) -> DataFrame:
     """The columns of docs without the text, plus what is left of it (binary), the byte counts and the maximal removed spans (array<struct<s,e>> of byte positions)."""
-    if not 1 <= length < 1024:
-        raise ValueError("length must be under 1024")
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k1, k2 = row_key(docs, doc_id, text)
+    if not 2 <= length < 1024:
+        raise ValueError("length must be 2 to 1023")
+    if dict(docs.dtypes)[doc_id] not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("document ids must be whole numbers, as the smallest keeps its text")
     new = [T.StructField(out, T.BinaryType()), T.StructField(n_bytes, T.LongType()), T.StructField(n_removed, T.LongType()), T.StructField(spans, T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))]
     rest = [f for f in docs.schema.fields if f.name.lower() not in {x.name.lower() for x in new} | {text.lower()}]
-    keyed = docs.select(F.struct(*(F.col(f.name) for f in rest)).alias("rest"), k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = keyed.select("k1", "text")
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            data = pa.array([z.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:-1]), data], [*batch.schema.names[:-1], "z"])
-
-    def packed(*columns: str) -> DataFrame:
-        fields = [T.StructField("k1", T.LongType(), False), T.StructField("k2", T.LongType(), False), T.StructField("z", T.BinaryType(), False)]
-        return keyed.select(*columns, "k1", "k2", "text").mapInArrow(squeeze, T.StructType([*(keyed.schema[c] for c in columns), *fields]))
-
-    def texts(batches: Iterator[pa.RecordBatch], other: str) -> Iterator[tuple]:
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py(), z.decompress(batch.column("z")[i].as_py()), batch.column(other)[i].as_py()
-
-    def gather(found: Iterator[list[np.ndarray]], columns: list[str]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for x in found:
-            held.append(x)
-            size += len(x[0])
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], columns)
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], columns)
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each():
-            for a, b, data, anchors in texts(batches, "anchors"):
-                r = windows(data, length).half_runs()
-                keep = np.isin(r.anchor, np.frombuffer(b"".join(anchors), np.int64))
-                n = int(keep.sum())
-                if n:
-                    yield [np.full(n, a), np.full(n, b), r.start[keep] * 1024 + r.count[keep], r.anchor[keep], r.content[keep]]
-
-        return gather(each(), ["k1", "k2", "p", "a", "c"])
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each():
-            for a, b, data, paths in texts(batches, "paths"):
-                mine = [x for x in paths if x["k2"] == b]
-                if mine:
-                    p = np.array([x["p"] for x in mine])
-                    s, n = p // 1024, p % 1024
-                    at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    yield [np.full(len(at), a), np.full(len(at), b), at, np.repeat(np.array([x["a"] for x in mine]), n), windows(data, length).hashes(at)]
-
-        return gather(each(), ["k1", "k2", "s", "a", "w"])
+    keyed = docs.select(F.struct(*(F.col(f.name) for f in rest)).alias("rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k1"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        for big in batches:
-            for start in range(0, big.num_rows, 256):
-                batch = big.slice(start, 256)
-                kept, total, gone, runs_ = [], [], [], []
-                for i in range(batch.num_rows):
-                    data = np.frombuffer(z.decompress(batch.column("z")[i].as_py()), np.uint8)
-                    b = batch.column("k2")[i].as_py()
-                    mine = [(x["s"], x["e"]) for x in batch.column("spans")[i].as_py() or () if x["k2"] == b]
-                    hit = covered(len(data), mine)
-                    edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-                    kept.append(data[~hit].tobytes())
-                    total.append(len(data))
-                    gone.append(int(hit.sum()))
-                    runs_.append([{"s": int(s), "e": int(e)} for s, e in edge.reshape(-1, 2)])
-                fields = batch.column("rest").flatten()
-                yield pa.RecordBatch.from_arrays([*fields, pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs_, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], [*(f.name for f in rest), *(f.name for f in new)])
-
-    slim = packed()
-    replies = written(shared_anchors(rows, length, buckets))
-    met = written(slim.join(replies, "k1").mapInArrow(runs, "k1 long, k2 long, p long, a long, c long"))
+        for batch in batches:
+            columns = ("data", "state", "codes", "state3", "codes3")
+            for data, state, codes, state3, codes3 in zip(*(batch.column(c) for c in columns), strict=True):
+                table = opened(data.as_py())
+                texts, k1 = texts_of(table), table.column("k1").to_numpy()
+                sizes = np.array([len(t) for t in texts], np.int64)
+                base = np.cumsum(sizes + 1) - sizes - 1  # a gap after each text, so that no span goes on into the next
+                steps = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
+                mark = lambda d, s, e, base=base, steps=steps: (np.add.at(steps, base[d] + s, 1), np.add.at(steps, base[d] + e, -1))
+                if state.is_valid:
+                    first, doc, p = unpack_all(state.as_py())
+                    gone, _ = told(codes.as_py(), len(first))
+                    sizes_ = np.diff(np.r_[first, len(doc)])
+                    low = k1[doc[first]]
+                    own = np.repeat(np.arange(len(first)), sizes_)
+                    later = k1[doc] > low[own]
+                    whole = later | gone[own]
+                    mark(doc[whole], p[whole] // 1024, p[whole] // 1024 + p[whole] % 1024 - 1 + length)
+                    if state3.is_valid:
+                        begin, kind, off = unpack_all(state3.as_py())
+                        gone3, _ = told(codes3.as_py(), len(begin))
+                        group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(kind)]))
+                        hit = gone3[group] | (low[kind] > low[kind[begin]][group])
+                        kind, off = kind[hit], off[hit]
+                        twins = np.bincount(own[~later], minlength=len(first))[kind]  # the smallest document's equal half runs
+                        run = np.repeat(first[kind], twins) + np.arange(twins.sum()) - np.repeat(np.cumsum(twins) - twins, twins)
+                        s = p[run] // 1024 + np.repeat(off, twins)
+                        mark(doc[run], s, s + length)
+                covered = np.cumsum(steps[:-1]) > 0
+                edge = np.flatnonzero(np.diff(np.r_[False, covered, False])).reshape(-1, 2)
+                owner = np.searchsorted(base, edge[:, 0], side="right") - 1
+                gap = np.zeros(len(covered), bool)
+                gap[base + sizes] = True
+                kept = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)[~covered & ~gap]
+                lost = np.add.reduceat(covered, base, dtype=np.int64) if len(texts) else sizes
+                ends = np.r_[0, np.cumsum(sizes - lost)].astype(np.int32)
+                struct = pa.StructArray.from_arrays([pa.array(edge[:, 0] - base[owner]), pa.array(edge[:, 1] - base[owner])], ["s", "e"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)), struct)
+                left = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(kept.tobytes())])
+                fields = table.column("rest").combine_chunks().flatten()
+                yield pa.RecordBatch.from_arrays([*fields, left, pa.array(sizes), pa.array(lost), lists], [*(f.name for f in rest), *(f.name for f in new)])
+                trim()
+
+    def decided(found: DataFrame, opening: DataFrame | None) -> DataFrame:
+        """(block, codes): numbers of a block's pairs, doubled; odd ones are to be opened, even ones go."""
+        least = found.where("j is not null").select("block", "j", "x", "low", "y", F.min("low").over(Window.partitionBy("x", "y")).alias("first"))
+        if opening is not None:
+            least = least.join(opening, "x", "left").where("low > first or several")
+        else:
+            least = least.where("low > first")
+        return least.groupBy("block").agg(F.collect_list(F.col("j").cast("long") * 2 + (F.col("low") == F.col("first")).cast("long")).alias("codes"))
+
+    blocks = written(to_blocks(keyed))
+    buckets = max(4, -(-blocks.count() // BLOCKS_A_BUCKET))
+    replies = written(shared_anchors(blocks, length, buckets))
+    second = blocks.join(replies.groupBy("block").agg(F.collect_list("anchors").alias("anchors")), "block", "left").select("block", "data", "anchors")
+    pairs = written(second.mapInArrow(lambda b: runs(b, length), RANKS))
     drop(replies)
-    shared = written(met.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest").select("a", "first", (F.col("low") == F.col("high")).alias("alone")))
-    pairs = written(met.join(shared, "a").where("not alone or k1 > first"))
-    drop(met, shared)
-    one_kind = pairs.where("alone").select("k1", "k2", "p")
-    several = pairs.where("not alone").select("k1", "k2", "p", "a", "c")
-    kinds = several.groupBy("a", "c").agg(F.min("k1").alias("first"))
-    ranked = written(several.join(kinds, ["a", "c"]))
-    later = ranked.where("k1 > first").select("k1", "k2", "p")
-    whole = written(one_kind.unionByName(later).select("k1", "k2", F.expr("p div 1024").alias("s"), F.expr(f"p div 1024 + p % 1024 - 1 + {length}").alias("e")))
-    drop(pairs)
-    by_doc = ranked.where("k1 = first").groupBy("k1").agg(F.collect_list(F.struct("k2", "p", "a")).alias("paths"))
-    found = written(slim.join(by_doc, "k1").mapInArrow(positions, "k1 long, k2 long, s long, a long, w long"))
-    drop(ranked)
-    lowest = written(found.groupBy("a", "w").agg(F.min("k1").alias("first"), F.max("k1").alias("latest")).where("first < latest").drop("latest"))
-    single = written(found.join(lowest, ["a", "w"]).where("k1 > first").select("k1", "k2", "s", (F.col("s") + length).alias("e")))
-    drop(found, lowest)
-    by_doc_spans = written(whole.unionByName(single).groupBy("k1").agg(F.collect_list(F.struct("k2", "s", "e")).alias("spans")))
-    drop(whole, single)
-    return packed("rest").join(by_doc_spans, "k1", "left").mapInArrow(apply, T.StructType([*rest, *new]))
+    kinds = pairs.where("j is not null").groupBy("x").agg(F.min("y").alias("y0"), F.max("y").alias("y1")).where("y0 <> y1").select("x", F.lit(True).alias("several"))
+    kinds = written(kinds)
+    codes = written(decided(pairs, kinds))
+    state = pairs.where("state is not null").select("block", "state")
+    third = blocks.join(state, "block").join(codes.where(F.exists("codes", lambda c: c % 2 == 1)), "block").select("block", "data", "state", "codes")
+    opened_ = written(third.mapInArrow(lambda b: windows(b, length), RANKS))
+    codes3 = written(decided(opened_, None).withColumnRenamed("codes", "codes3"))
+    state3 = opened_.where("state is not null").select("block", F.col("state").alias("state3"))
+    last = blocks.join(state, "block", "left").join(codes, "block", "left").join(state3, "block", "left").join(codes3, "block", "left")
+    return last.select("data", "state", "codes", "state3", "codes3").mapInArrow(apply, T.StructType([*rest, *new]))

@@ -111,8 +111,8 @@ class Windows:
     def contents(self, start: np.ndarray, count: np.ndarray, place: np.ndarray) -> np.ndarray:
         return mix(self.span_hash(start, start + count + self.length - 1) ^ mix((place - start).astype(U) * U(256) + count.astype(U))).view(np.int64)
 
-    def half_runs(self) -> Runs:
-        """Runs cut where windows change sides: those with at least half of their other tokens before the anchor, and the rest. The anchor grows by the tokens that all windows of a half have on that side."""
+    def half_runs(self, inside: np.ndarray | None = None) -> Runs:
+        """Runs (of the windows marked as inside) cut where windows change sides: those with at least half of their other tokens before the anchor, and the rest. The anchor grows by the tokens that all windows of a half have on that side."""
         if not self.n:
             return self.runs()
         at = np.arange(len(self.values) - self.k + 1)
@@ -120,8 +120,12 @@ class Windows:
         before = (self.length - self.k + 1) // 2
         after = self.length - self.k - before + 1
         left = where - np.arange(self.n) >= before
-        start = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (left[1:] != left[:-1])])
-        count, place, left = np.diff(np.r_[start, self.n]), where[start], left[start]
+        cut = (where[1:] != where[:-1]) | (left[1:] != left[:-1])
+        start = np.flatnonzero(np.r_[True, cut if inside is None else cut | (inside[1:] != inside[:-1])])
+        count = np.diff(np.r_[start, self.n])
+        if inside is not None:
+            start, count = start[inside[start]], count[inside[start]]
+        place, left = where[start], left[start]
         anchor = self.span_hash(place - before * left, place + self.k + after * ~left)
         return Runs(start, count, anchor.view(np.int64), self.contents(start, count, place))
 
@@ -129,6 +133,43 @@ class Windows:
         return self.span_hash(at, at + self.length).view(np.int64)
 
 
+#: Bytes of text whose hashes are computed at once: few calls for short texts, arrays that stay in a core's cache.
+CHUNK = 65_536
+
+
+def chunks(texts: list[bytes], most: int = CHUNK) -> list[tuple[int, int]]:
+    """Bounds of stretches of texts with about `most` bytes each."""
+    out, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i == len(texts) - 1:
+            out.append((first, i + 1))
+            first, size = i + 1, 0
+    return out
+
+
+def block_runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of a block of texts: which text each half run is in, its first window, number of windows, anchor and content. No window crosses texts."""
+    found = []
+    for i, j in chunks(texts):
+        sizes = np.array([len(t) for t in texts[i:j]], np.int64)
+        w = Windows(byte_values(b"".join(texts[i:j])), length, k)
+        if not w.n:
+            continue
+        base = np.cumsum(sizes) - sizes
+        room = np.maximum(sizes - length + 1, 0)
+        inside = np.zeros(w.n + 1, np.int64)
+        np.add.at(inside, base[room > 0], 1)
+        np.add.at(inside, (base + room)[room > 0], -1)
+        r = w.half_runs(np.cumsum(inside[:-1]) > 0)
+        doc = np.searchsorted(base, r.start, side="right") - 1
+        found.append((doc + i, r.start - base[doc], r.count, r.anchor, r.content))
+    if not found:
+        e = np.empty(0, np.int64)
+        return e, e, e, e, e
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which of n tokens some half-open span covers."""
     steps = np.zeros(n + 1, np.int64)
