@@ -4,15 +4,20 @@ A page's text falls into blocks. For each root-to-leaf path of block tags the te
 length, the punctuation marks and the linked text of its blocks are added up; the
 path's length and punctuation per block are fused into one ratio, damped by the
 linked share. Ratios are smoothed along the page, averaged per path again, and
-paths at a share of the best one or more select content nodes. The lowest element
-that holds all of them, widened to the outermost article or main element around it,
-is the container; all its blocks are returned in page order, apart from elements
-that their tag, role, class or id mark as menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments. The ratios decide the container only.
+paths at a share of the best one or more select content nodes. They decide twice:
+
+* The lowest element that holds all content nodes, widened to the outermost article
+  or main element around it, is the container; what lies beside it goes.
+* In the container, all that stands between the first and the last content node stays.
+  Before and after them, blocks of paths that were not selected go if most of their
+  text is linked (menus, link bars); headings, lists and other text there stay.
+
+Elements that their tag, role, class or id mark as menus, headers, footers, sidebars,
+notices, adverts, forms or reader comments are vetoed whatever their paths' ratios.
 
 Cases: a null or empty page, or one without text, gives an empty text; text outside
-any tag is a block of its own; tags that are never closed end with their parent;
-pages are read whole.
+any tag is a block of its own; tags that are never closed end with their parent; time
+and memory are linear in the page, however deep or broken; pages are read whole.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adb
 OUTSIDE_ARTICLE = frozenset("header".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "body": {"head"}}
 KEEPS_P = frozenset("button td th table article section div li body".split())
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARKS = re.compile(r"[.,;:!?…。，、！？؟।]")
@@ -46,15 +51,15 @@ KEEP_SHARE = 0.3
 
 
 class Element:
-    __slots__ = ("inside", "link", "name", "noise", "parent", "path")
+    __slots__ = ("depth", "first", "inside", "last", "link", "name", "noise", "parent", "path")
 
-    def __init__(self, name: str, parent: Element | None, noise: bool = False, label: str = ""):
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Element | None, first: int = 0, noise: bool = False, path: int = 0):
+        self.name, self.parent, self.path = name, parent, path
+        self.first = self.last = first  # numbers, in the order of opening, of the element and the last one in it
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.noise = noise or (parent is not None and parent.noise)
         self.link = name == "a" or (parent is not None and parent.link)
         self.inside = name in ("article", "main") or (parent is not None and parent.inside)
-        own = f"{name}.{label}" if label else name
-        self.path = parent.path if parent is not None and name in INLINE else (f"{parent.path}/{own}" if parent is not None else own)
 
 
 class Block:
@@ -85,12 +90,57 @@ def is_noise(name: str, raw: str, inside: bool) -> tuple[bool, str]:
     return False, label.split()[0] if label.split() else ""
 
 
+_shut: dict[str, re.Pattern] = {}
+LISTS = frozenset("ul ol table dl select".split())
+
+
+class Open:
+    """The open elements, with the places of each name, so that no tag has to look through all of them."""
+
+    def __init__(self) -> None:
+        self.root = Element("", None)
+        self.stack, self.at, self.blocks = [self.root], {}, [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.made = 0
+
+    def add(self, name: str, noise: bool, label: str) -> None:
+        parent = self.stack[-1]
+        path = parent.path if name in INLINE else self.paths.setdefault((parent.path, f"{name}.{label}" if label else name), len(self.paths) + 1)
+        self.made += 1
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(Element(name, parent, self.made, noise, path))
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            e.last = self.made
+            self.at[e.name].pop()
+            if e.name not in INLINE:
+                self.blocks.pop()
+
+    def place(self, names: frozenset[str] | set[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def close(self, names: frozenset[str] | set[str], least: int = 0) -> None:
+        """Close the innermost of these elements if it is within the element at place `least`."""
+        place = self.place(names)
+        if place > least:
+            self.cut(place)
+
+    def block(self) -> Element:
+        return self.stack[self.blocks[-1]]
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in page order."""
     out: list[Block] = []
-    stack = [Element("", None)]
+    open_ = Open()
     parts: list[tuple[str, bool]] = []
-    owner = stack[0]
+    owner = open_.root
+    never_shut: set[str] = set()
 
     def flush() -> None:
         if parts:
@@ -99,29 +149,18 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(owner, text, sum(len(t.strip()) for t, link in parts if link)))
             parts.clear()
 
-    def block_owner() -> Element:
-        return next((e for e in reversed(stack) if e.name not in INLINE), stack[0])
-
     def add(raw: str) -> None:
         nonlocal owner
         if raw:
             if not parts:
-                owner = block_owner()
-            if not stack[-1].noise:
-                parts.append((entities.unescape(raw), stack[-1].link))
-
-    def close_to(names: set[str], stops: frozenset[str] = frozenset()) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return True
-            if stack[i].name in stops:
-                return False
-        return False
-
-    at, end = 0, len(page)
+                owner = open_.block()
+            if not open_.stack[-1].noise:
+                parts.append((entities.unescape(raw), open_.stack[-1].link))
+
+    at, end, last = 0, len(page), page.rfind(">") + 1
+    last = end if page.find("<!--", last) >= 0 else last  # no tag ends beyond, though a comment may go on to the end
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last)
         if m is None:
             add(page[at:])
             break
@@ -138,50 +177,57 @@ def blocks(page: str) -> list[Block]:
                 parts.append((" ", False))
             continue
         if m[1]:
-            close_to({name}, frozenset() if block else frozenset(e.name for e in stack if e.name not in INLINE))
+            open_.close({name}, 0 if block else open_.blocks[-1])
             continue
         if name in RAW:
-            shut = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if name not in _shut:
+                _shut[name] = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I)
+            shut = _shut[name].search(page, at) if name not in never_shut else None
+            if shut is None:
+                never_shut.add(name)
             at = shut.end() if shut else (end if name in ("script", "style") else at)
             continue
         if name in VOID:
             continue
         if block:
-            close_to(CLOSES.get(name, set()), frozenset("ul ol table dl select".split()) - {name} if name != "p" else KEEPS_P)
+            open_.close(CLOSES.get(name, set()), open_.place(LISTS - {name} if name != "p" else KEEPS_P))
             if name != "p":
-                close_to({"p"}, KEEPS_P)
+                open_.close({"p"}, open_.place(KEEPS_P))
         elif name == "a":
-            close_to({"a"}, frozenset(e.name for e in stack if e.name not in INLINE))
+            open_.close({"a"}, open_.blocks[-1])
         if m[3].endswith("/") and name in ("svg", "path"):
             continue
-        noise, label = is_noise(name, m[3], stack[-1].inside)
-        stack.append(Element(name, stack[-1], noise, label))
+        open_.add(name, *is_noise(name, m[3], open_.stack[-1].inside))
     flush()
+    open_.cut(1)
+    open_.root.last = open_.made
     return out
 
 
-def path_ratios(page: list[Block]) -> dict[str, float]:
+def path_ratios(page: list[Block]) -> dict[int, float]:
     """Per tag path the fused and smoothed ratio of text length and punctuation."""
-    totals: dict[str, list[int]] = {}
+    totals: dict[int, list[int]] = {}
     for b in page:
         t = totals.setdefault(b.element.path, [0, 0, 0, 0])
         for i, x in enumerate((1, len(b.text), len(MARKS.findall(b.text)), b.linked)):
             t[i] += x
     raw = {p: math.log1p(chars / n) * math.log1p(marks / n) * (1 - min(1.0, linked / chars)) for p, (n, chars, marks, linked) in totals.items()}
     row = [raw[b.element.path] for b in page]
-    smooth: dict[str, list[float]] = {}
+    smooth: dict[int, list[float]] = {}
     for i, b in enumerate(page):
         near = row[max(0, i - 1) : i + 2]
         smooth.setdefault(b.element.path, []).append((row[i] + sum(near)) / (1 + len(near)))
     return {p: sum(v) / len(v) for p, v in smooth.items()}
 
 
-def around(element: Element) -> list[Element]:
-    """The element and those it stands in, the outermost first."""
-    chain = [element]
-    while chain[-1].parent is not None:
-        chain.append(chain[-1].parent)
-    return chain[::-1]
+def common(a: Element, b: Element) -> Element:
+    """The lowest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
 
 
 def main_blocks(page: str) -> list[str]:
@@ -190,13 +236,15 @@ def main_blocks(page: str) -> list[str]:
         return []
     ratios = path_ratios(found)
     least = KEEP_SHARE * max(ratios.values())
-    shared: list[Element] | None = None  # the elements around all selected blocks, the outermost first
-    for b in found:
-        if ratios[b.element.path] >= least:
-            chain = around(b.element.parent if b.element.parent is not None else b.element)
-            shared = chain if shared is None else [x for x, y in zip(shared, chain) if x is y]
-    best = next((e for e in shared if e.name in ("article", "main")), shared[-1])
-    return [b.text for b in found if best in around(b.element)]
+    content = [b.element.parent or b.element for b in found if ratios[b.element.path] >= least]
+    # elements are numbered as they open, so the outermost two tell what holds all
+    holder = common(min(content, key=lambda e: e.first), max(content, key=lambda e: e.first))
+    best, e = holder, holder
+    while e is not None:
+        best, e = (e if e.name in ("article", "main") else best), e.parent
+    inside = [b for b in found if best.first <= b.element.first <= best.last]
+    chosen = [i for i, b in enumerate(inside) if ratios[b.element.path] >= least]
+    return [b.text for i, b in enumerate(inside) if chosen[0] <= i <= chosen[-1] or 2 * b.linked <= len(b.text)]
 
 
 def main_text(page: str | None) -> str:

@@ -232,6 +232,30 @@ def test_main_text_of_several_containers():
     assert tag_paths.main_blocks(f"<body><div><p>{a}<ul><li><a href=/>a source</a></ul><p>{b}</div></body>") == [a, "a source", b]
 
 
+def test_ratios_decide_without_telling_names(monkeypatch):
+    a, b, c = (f"{x} one, two, three. Four, five, six. Seven, eight, nine." for x in ("First", "Second part is longer, so it is", "Third"))
+    links = "".join(f"<li><a href=/{i}>Place {i}</a></li>" for i in range(6))
+    plain = f"<body><div><ul>{links}</ul></div><div><h2>Title</h2><p>{a}</p><p>{b}</p><ul><li>one thing</li></ul></div><div><span>All rights kept</span></div></body>"
+    article = f"<body><article><ul>{links}</ul><h1>Title</h1><p>{a}</p><p><a href=/s>a source</a></p><p>{b}</p><ol><li>one thing</ol><div><a href=/x>Send</a> <a href=/y>Print</a></div></article></body>"
+    want = (["Title", a, b, "one thing"], ["Title", a, "a source", b, "one thing"])
+    assert (tag_paths.main_blocks(plain), tag_paths.main_blocks(article)) == want
+    monkeypatch.setattr(tag_paths, "path_ratios", lambda page: {x.element.path: 1.0 for x in page})
+    got = (tag_paths.main_blocks(plain), tag_paths.main_blocks(article))
+    assert got[0] != want[0] and got[1] != want[1] and set(want[0]) < set(got[0]) and set(want[1]) < set(got[1])
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<div>x", "<a ", "<svg>", "<i><b>", "<p>x", "<li><a href='", "<!", "<ul><li>y", "</i>", "<b>", "<table><tr><td>z", "<script", '<a "'):
+        took = []
+        for n in (1, 4):
+            began = time.process_time()
+            tag_paths.main_blocks(("<i><div>" if piece == "</i>" else "") + piece * (n * 100_000 // len(piece)))
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * max(took[0], 0.05), piece
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7x?q#f", "https://com/en/", "x://example.net/de/81", "x://m.example.net/de/9", "http://notcom/en/", "http://a.org/es/x", "http://a.org?/es/", "http://win-casino.example/adult/xxx", "ftp://h#x://y/z"]
     rows = [(i, u) for i, u in enumerate(urls)]
