@@ -14,13 +14,14 @@ rather than ordinals: equal exactly if the strings are, which is all that is ask
 2. Pairs (anchor, content of the half run). Equal pairs have equal windows: all but
    the smallest document's go at once. Pairs that are alone with their anchor leave.
 3. Where different half runs share an anchor, the smallest document's one of each kind
-   is opened into its windows, and Spark sorts the pairs (rank of the first 25 bytes,
-   rank of the 25 bytes at offset 25): the doubling step that passes the threshold.
+   is opened into its windows, and the pairs (rank of the first 25 bytes, rank of the 25
+   bytes at offset 25) are ranked: the doubling step that passes the threshold.
 
-Documents travel as compressed blocks, written once; rounds exchange ranks, and every
-block sends a rank at most once with the smallest id that it has there, so that no
-rank, however common, has more rows than there are blocks. Decisions return to blocks
-by number.
+Documents travel as compressed blocks, written once. In each round every block deals
+its ranks out to buckets as sorted, packed columns; a bucket sorts what all blocks
+sent and tells each the numbers of the pairs that go, or must go on. A block sends a
+pair at most once, with the smallest id that it has there, and pairs are dealt by
+content, so that no rank, however common, brings a bucket more than one entry a block.
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller
 id. Cases: null texts count as empty; texts under 50 bytes keep all; null ids sort
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,7 +79,7 @@ def unpack_all(data: bytes) -> list[np.ndarray]:
 
 def batch_bytes(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as w:
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
         for b in batches:
             w.write_batch(b)
     return sink.getvalue().to_pybytes()
@@ -125,14 +126,19 @@ def several_texts(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.unique(a[1:][(a[1:] == a[:-1]) & (d[1:] != d[:-1])])
 
 
-def shared_anchors(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(block, anchors): packed anchors of a block that another block holds too; a row for each block and bucket at most."""
-    shift = U(64 - max(1, (buckets - 1).bit_length()))
+def anchor_bits(blocks: int) -> int:
+    """Leading bits of an anchor that travel: ten more than number the anchors, so that one in a thousand stays that nobody shares. Nothing rests on them but who goes on."""
+    return min(64, 30 + max(1, blocks - 1).bit_length())
+
+
+def shared_anchors(blocks: DataFrame, length: int, buckets: int, bits: int) -> DataFrame:
+    """(block, anchors): packed leading bits of a block's anchors that another block holds too; a row for each block and bucket at most."""
+    shift = U(bits - max(1, (buckets - 1).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                a = np.unique(block_runs(texts_of(opened(data.as_py())), length, anchor_size(length))[3].view(np.uint64))
+                a = np.unique(block_runs(texts_of(opened(data.as_py())), length, anchor_size(length))[3].view(np.uint64) >> U(64 - bits))
                 part = (a >> shift).astype(np.int64)
                 ends = np.searchsorted(part, np.arange(part.max() + 2)) if len(a) else np.zeros(1, np.int64)
                 out = [(b % buckets, block, pack(np.diff(a[i:j], prepend=U(0)))) for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
@@ -163,55 +169,106 @@ def anchor_size(length: int) -> int:
     return min(ANCHOR, max(1, length // 2))
 
 
-RANKS = "block long, j int, x long, y long, low long, state binary"
-
-
-def ranks_of(block: int, x: np.ndarray, y: np.ndarray, low: np.ndarray, state: bytes) -> Iterator[pa.RecordBatch]:
-    """A block's distinct pairs of ranks by number, and what it needs to know of them later."""
-    names = ["block", "j", "x", "y", "low", "state"]
-    one = lambda kind: pa.array([None], kind)
-    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(pa.int32()), one(pa.int64()), one(pa.int64()), one(pa.int64()), pa.array([state], pa.binary())], names)
-    for i in range(0, len(x), 100_000):
-        part = slice(i, i + 100_000)
-        n = len(x[part])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(i, i + n, dtype=np.int32)), pa.array(x[part].view(np.int64)), pa.array(y[part].view(np.int64)), pa.array(low[part]), pa.nulls(n, pa.binary())], names)
+PARTS = "kind int, bucket int, block long, data binary"
+STATE, PAIRS, KINDS = 0, 1, 2
+
+
+class Parts:
+    """Record batches of what a block keeps for itself and what it sends to buckets."""
+
+    def __init__(self, block: int, buckets: int):
+        self.block, self.buckets = block, buckets
+        self.rows: list[tuple[int, int, bytes]] = []
+
+    def keep(self, *arrays: np.ndarray) -> Parts:
+        self.rows.append((STATE, 0, pack_all(*arrays)))
+        return self
+
+    def send(self, kind: int, key: np.ndarray, *arrays: np.ndarray, bits: int = 64) -> Parts:
+        """Sorted keys and what belongs to each go to buckets by the keys' leading bits, with the number of the first of them."""
+        part = (key >> U(bits - max(1, (self.buckets - 1).bit_length()))).astype(np.int64)
+        ends = np.searchsorted(part, np.arange(part.max() + 2)) if len(key) else np.zeros(1, np.int64)
+        for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if i < j:
+                self.rows.append((kind, b % self.buckets, pack_all(np.array([i]), np.diff(key[i:j], prepend=U(0)).view(np.int64), *(x[i:j] for x in arrays))))
+        return self
+
+    def batch(self) -> pa.RecordBatch:
+        kinds, buckets, data = zip(*self.rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array([self.block] * len(data), pa.int64()), pa.array(data, pa.binary())], ["kind", "bucket", "block", "data"])
+
+
+def meet(table: pa.Table) -> pa.Table:
+    """A bucket: sorts the ranks of all blocks and tells each block the numbers of its pairs that a smaller document has too, or of its anchors with several contents."""
+    kind = table.column("kind")[0].as_py()
+    ids = table.column("block").to_numpy()
+    numbers, keys, one, two = [], [], [], []
+    for data in table.column("data"):
+        (start,), key, a, b = unpack_all(data.as_py())
+        keys.append(np.cumsum(key.view(np.uint64), dtype=np.uint64))
+        numbers.append(np.arange(start, start + len(key)))
+        one.append(a)
+        two.append(b if kind == PAIRS else a ^ b)
+    at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    key, number, a, b = (np.concatenate(x) for x in (keys, numbers, one, two))
+    keys.clear(), numbers.clear(), one.clear(), two.clear()
+    order = np.lexsort((b, a, key) if kind == PAIRS else (key,))
+    key, number, a, b, at = key[order], number[order], a[order], b[order], at[order]
+    new = key[1:] != key[:-1]
+    first = np.flatnonzero(np.r_[True, new | (a[1:] != a[:-1]) if kind == PAIRS else new])
+    sizes = np.diff(np.r_[first, len(key)])
+    told = b > np.repeat(b[first], sizes) if kind == PAIRS else np.repeat(np.minimum.reduceat(a, first) != np.maximum.reduceat(b, first), sizes)
+    number, at = number[told], at[told]
+    order = np.lexsort((number, at))
+    number, at = number[order], at[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    ends = np.r_[first[1:], len(at)]
+    trim()
+    return pa.table({"kind": pa.array([kind] * len(first), pa.int32()), "block": pa.array(ids[at[first]], pa.int64()), "told": pa.array([pack(np.diff(number[i:j], prepend=0)) for i, j in zip(first, ends, strict=False)], pa.binary())})
+
+
+def marked(replies: pa.Scalar, n: int) -> np.ndarray:
+    """Which of a block's n numbers the buckets have told."""
+    out = np.zeros(n, bool)
+    for x in replies.as_py() or ():
+        out[np.cumsum(unpack(x).view(np.int64))] = True
+    return out
 
 
-def runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Round 2: of each block the half runs whose anchors another document holds, as pairs (anchor, content)."""
+def runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Round 2: of each block the half runs whose anchors another document holds, as pairs (content, anchor)."""
     for batch in batches:
         for block, data, replies in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("anchors"), strict=True):
             table = opened(data.as_py())
             doc, start, count, anchor, content = block_runs(texts_of(table), length, anchor_size(length))
-            shared = np.unique(np.concatenate([several_texts(doc, anchor).view(np.uint64), *(np.cumsum(unpack(x), dtype=np.uint64) for x in replies.as_py() or ())]))
+            a = anchor.view(np.uint64)
+            short = a >> U(64 - bits)
+            shared = np.unique(np.concatenate([several_texts(doc, short), *(np.cumsum(unpack(x), dtype=np.uint64) for x in replies.as_py() or ())]))
             if not len(shared):
                 continue
-            a = anchor.view(np.uint64)
-            keep = shared[np.minimum(np.searchsorted(shared, a), len(shared) - 1)] == a
-            doc, start, count, anchor, content = (v[keep] for v in (doc, start, count, anchor, content))
+            keep = shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short
+            doc, start, count, a, c = (v[keep] for v in (doc, start, count, a, content.view(np.uint64)))
             k1 = table.column("k1").to_numpy()[doc]
-            order, first = grouped(k1, content, anchor)
-            doc, p = doc[order], (start * 1024 + count)[order]
-            yield from ranks_of(block, anchor[order][first], content[order][first], k1[order][first], pack_all(first, doc, p))
+            order, first = grouped(k1, a, c)
+            x, y = a[order][first], c[order][first]
+            anchors, which = np.unique(x >> U(64 - bits), return_inverse=True)
+            by_anchor = np.lexsort((y.view(np.int64), which))
+            begin = np.searchsorted(which[by_anchor], np.arange(len(anchors)))
+            low, high = y.view(np.int64)[by_anchor[begin]], y.view(np.int64)[by_anchor[np.r_[begin[1:], len(y)] - 1]]
+            yield Parts(block, buckets).keep(np.diff(first, prepend=0), doc[order], (start * 1024 + count)[order], which).send(PAIRS, y, (x >> U(32)).view(np.int64), k1[order][first]).send(KINDS, anchors, low, low ^ high, bits=bits).batch()
             trim()
 
 
-def told(codes: list[int] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Decisions on a block's n pairs: whether each goes, whether it is to be opened."""
-    out = np.zeros((2, n), bool)
-    if codes:
-        c = np.array(codes, np.int64)
-        out[c % 2, c // 2] = True
-    return out[0], out[1]
-
-
-def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def windows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Round 3: the windows of the half runs to be opened, as pairs (rank of the first half, rank of the last half)."""
     half = length - length // 2
     for batch in batches:
-        for block, data, state, codes in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("state"), batch.column("codes").to_pylist(), strict=True):
-            first, doc, p = unpack_all(state.as_py())
-            kind = np.flatnonzero(told(codes, len(first))[1])
+        for block, data, state, gone, several in zip(batch.column("block").to_pylist(), *(batch.column(c) for c in ("data", "state", "gone", "several")), strict=True):
+            first, doc, p, which = unpack_all(state.as_py())
+            first = np.cumsum(first)
+            kind = np.flatnonzero(marked(several, int(which.max()) + 1)[which] & ~marked(gone, len(first)))
+            if not len(kind):
+                continue
             table = opened(data.as_py())
             texts, k1 = texts_of(table), table.column("k1").to_numpy()
             run = first[kind]
@@ -228,11 +285,11 @@ def windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 n = p[run[low:high]] % 1024
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(base[doc[run[low:high]] - i] + p[run[low:high]] // 1024, n) + off
-                found.append((np.repeat(kind[low:high], n), off, w.span_hash(at, at + half).view(np.int64), w.span_hash(at + length - half, at + length).view(np.int64)))
+                found.append((np.repeat(kind[low:high], n), off, w.span_hash(at, at + half), w.span_hash(at + length - half, at + length)))
             kind, off, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
             low = k1[doc[first[kind]]]
             order, begin = grouped(low, y, x)
-            yield from ranks_of(block, x[order][begin], y[order][begin], low[order][begin], pack_all(begin, kind[order], off[order]))
+            yield Parts(block, buckets).keep(np.diff(begin, prepend=0), kind[order], off[order]).send(PAIRS, x[order][begin], (y[order][begin] >> U(24)).view(np.int64), low[order][begin]).batch()
             trim()
 
 
@@ -248,8 +305,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = ("data", "state", "codes", "state3", "codes3")
-            for data, state, codes, state3, codes3 in zip(*(batch.column(c) for c in columns), strict=True):
+            columns = ("data", "state", "gone", "state3", "gone3")
+            for data, state, gone, state3, gone3 in zip(*(batch.column(c) for c in columns), strict=True):
                 table = opened(data.as_py())
                 texts, k1 = texts_of(table), table.column("k1").to_numpy()
                 sizes = np.array([len(t) for t in texts], np.int64)
@@ -257,19 +314,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 steps = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
                 mark = lambda d, s, e, base=base, steps=steps: (np.add.at(steps, base[d] + s, 1), np.add.at(steps, base[d] + e, -1))
                 if state.is_valid:
-                    first, doc, p = unpack_all(state.as_py())
-                    gone, _ = told(codes.as_py(), len(first))
+                    first, doc, p, _ = unpack_all(state.as_py())
+                    first = np.cumsum(first)
                     sizes_ = np.diff(np.r_[first, len(doc)])
                     low = k1[doc[first]]
                     own = np.repeat(np.arange(len(first)), sizes_)
                     later = k1[doc] > low[own]
-                    whole = later | gone[own]
+                    whole = later | marked(gone, len(first))[own]
                     mark(doc[whole], p[whole] // 1024, p[whole] // 1024 + p[whole] % 1024 - 1 + length)
                     if state3.is_valid:
                         begin, kind, off = unpack_all(state3.as_py())
-                        gone3, _ = told(codes3.as_py(), len(begin))
+                        begin = np.cumsum(begin)
                         group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(kind)]))
-                        hit = gone3[group] | (low[kind] > low[kind[begin]][group])
+                        hit = marked(gone3, len(begin))[group] | (low[kind] > low[kind[begin]][group])
                         kind, off = kind[hit], off[hit]
                         twins = np.bincount(own[~later], minlength=len(first))[kind]  # the smallest document's equal half runs
                         run = np.repeat(first[kind], twins) + np.arange(twins.sum()) - np.repeat(np.cumsum(twins) - twins, twins)
@@ -290,28 +347,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([*fields, left, pa.array(sizes), pa.array(lost), lists], [*(f.name for f in rest), *(f.name for f in new)])
                 trim()
 
-    def decided(found: DataFrame, opening: DataFrame | None) -> DataFrame:
-        """(block, codes): numbers of a block's pairs, doubled; odd ones are to be opened, even ones go."""
-        least = found.where("j is not null").select("block", "j", "x", "low", "y", F.min("low").over(Window.partitionBy("x", "y")).alias("first"))
-        if opening is not None:
-            least = least.join(opening, "x", "left").where("low > first or several")
-        else:
-            least = least.where("low > first")
-        return least.groupBy("block").agg(F.collect_list(F.col("j").cast("long") * 2 + (F.col("low") == F.col("first")).cast("long")).alias("codes"))
+    def answers(parts: DataFrame) -> DataFrame:
+        """(block, gone, several): what the buckets tell each block."""
+        told = written(parts.where(f"kind <> {STATE}").groupBy("kind", "bucket").applyInArrow(meet, "kind int, block long, told binary"))
+        of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("told")))
+        return told.groupBy("block").agg(of(PAIRS).alias("gone"), of(KINDS).alias("several"))
 
     blocks = written(to_blocks(keyed))
-    buckets = max(4, -(-blocks.count() // BLOCKS_A_BUCKET))
-    replies = written(shared_anchors(blocks, length, buckets))
+    n = blocks.count()
+    bits = anchor_bits(n)
+    replies = written(shared_anchors(blocks, length, max(4, -(-n // BLOCKS_A_BUCKET)), bits))
+    buckets = max(4, -(-n // (2 * BLOCKS_A_BUCKET)))
     second = blocks.join(replies.groupBy("block").agg(F.collect_list("anchors").alias("anchors")), "block", "left").select("block", "data", "anchors")
-    pairs = written(second.mapInArrow(lambda b: runs(b, length), RANKS))
+    parts = written(second.mapInArrow(lambda b: runs(b, length, buckets, bits), PARTS))
     drop(replies)
-    kinds = pairs.where("j is not null").groupBy("x").agg(F.min("y").alias("y0"), F.max("y").alias("y1")).where("y0 <> y1").select("x", F.lit(True).alias("several"))
-    kinds = written(kinds)
-    codes = written(decided(pairs, kinds))
-    state = pairs.where("state is not null").select("block", "state")
-    third = blocks.join(state, "block").join(codes.where(F.exists("codes", lambda c: c % 2 == 1)), "block").select("block", "data", "state", "codes")
-    opened_ = written(third.mapInArrow(lambda b: windows(b, length), RANKS))
-    codes3 = written(decided(opened_, None).withColumnRenamed("codes", "codes3"))
-    state3 = opened_.where("state is not null").select("block", F.col("state").alias("state3"))
-    last = blocks.join(state, "block", "left").join(codes, "block", "left").join(state3, "block", "left").join(codes3, "block", "left")
-    return last.select("data", "state", "codes", "state3", "codes3").mapInArrow(apply, T.StructType([*rest, *new]))
+    own = lambda p: p.where(f"kind = {STATE}").select("block", F.col("data").alias("state"))
+    told, state = answers(parts), written(own(parts))
+    drop(parts)
+    third = blocks.join(state, "block").join(told.where("size(several) > 0"), "block").select("block", "data", "state", "gone", "several")
+    parts3 = written(third.mapInArrow(lambda b: windows(b, length, buckets), PARTS))
+    told3, state3 = answers(parts3).withColumnRenamed("gone", "gone3"), written(own(parts3).withColumnRenamed("state", "state3"))
+    drop(parts3)
+    last = blocks.join(state, "block", "left").join(told, "block", "left").join(state3, "block", "left").join(told3, "block", "left")
+    return last.select("data", "state", "gone", "state3", "gone3").mapInArrow(apply, T.StructType([*rest, *new]))

@@ -22,7 +22,7 @@ U = np.uint64
 R = 0x9E3779B97F4A7C15
 R_INVERSE = pow(R, -1, 1 << 64)
 #: Words kept with their hashes by each Python worker.
-CACHE = 250_000
+CACHE = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
