@@ -107,3 +107,42 @@ def uniform_from(*parts: Column | str) -> Column:
     """A reproducible number in (0, 1) from a hash. For tests and synthetic data: it is not private."""
     digest = F.sha2(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts)), 256)
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+
+
+FRACTION = 32
+
+
+def fixed(x: Column, bits: int = FRACTION) -> Column:
+    """A number in fixed point, cut towards minus infinity."""
+    return F.floor(x * float(1 << bits)).cast("decimal(38,0)")
+
+
+def fixed_multiply(a: Column, b: Column, bits: int = FRACTION) -> Column:
+    """(a * b) >> bits of fixed-point numbers, exact within 38 digits."""
+    return F.floor(a.cast("decimal(19,0)") * b.cast("decimal(19,0)") / F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def reciprocal_holds(x: Column, y: Column, bits: int = FRACTION, tolerance: int = 1) -> Column:
+    """Whether fixed-point y is the reciprocal of whole x: |x * y - 2^bits| within tolerance * x."""
+    return F.abs(x.cast("decimal(19,0)") * y.cast("decimal(19,0)") - F.lit(1 << bits).cast("decimal(20,0)")) <= x.cast("decimal(19,0)") * tolerance
+
+
+def newton_reciprocal(x: int, bits: int = FRACTION, most: int = 64) -> tuple[int, list[int]]:
+    """floor(2^bits / x) by Newton's steps in whole numbers, and how far each step moved it: the report of its convergence."""
+    y, moved = 1 << max(0, bits - x.bit_length()), []
+    for _ in range(most):
+        new = y + (y * ((1 << bits) - x * y) >> bits)
+        moved.append(abs(new - y))
+        if new == y:
+            break
+        y = new
+    while x * (y + 1) <= 1 << bits:
+        y += 1
+    while x * y > 1 << bits:
+        y -= 1
+    return y, moved
+
+
+def length_prefixed(*parts: Column) -> Column:
+    """Strings joined so that no two different lists give one text: each after its length in bytes."""
+    return F.concat(*(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import json
+import math
 import os
 from dataclasses import dataclass, fields
 
@@ -27,11 +29,17 @@ class AuditLog:
         return hashlib.sha256(json.dumps([reason, context, at, before]).encode()).hexdigest()
 
     def append(self, reason: str, context: str, at: int) -> str:
-        known = self.entries()
-        before = known[-1]["link"] if known else ""
-        link = self.link(reason, context, at, before)
-        with open(self.path, "a", encoding="utf-8") as f:
-            f.write(json.dumps({"reason": reason, "context": context, "at": at, "before": before, "link": link}) + "\n")
+        """Under a file lock; only the end of the log is read."""
+        with open(self.path, "a+b") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            size, tail, step = f.seek(0, os.SEEK_END), b"", 4096
+            while size and tail.strip().count(b"\n") == 0 and len(tail) < size:
+                f.seek(max(0, size - step))
+                tail, step = f.read(), 2 * step
+            last = tail.strip().rsplit(b"\n", 1)[-1]
+            before = json.loads(last)["link"] if last else ""
+            link = self.link(reason, context, at, before)
+            f.write((json.dumps({"reason": reason, "context": context, "at": at, "before": before, "link": link}) + "\n").encode())
             f.flush()
             os.fsync(f.fileno())
         return link
@@ -74,6 +82,15 @@ class MetricsText:
         return "\n".join(out) + "\n"
 
 
+def break_even_buckets(firms: int) -> float:
+    """The number B of buckets with B / log2 B = log2(firms), from 2 to 10,000."""
+    goal = math.log2(max(firms, 4))
+    b = goal
+    for _ in range(200):  # a fixed point of B = goal * log2 B, reached from below or above
+        b = min(10_000.0, max(2.0, goal * math.log2(max(b, 2.0))))
+    return b
+
+
 @dataclass
 class Config:
     """Settings of a release. Text form: `key = value` lines, # comments; unknown keys are ignored."""
@@ -89,6 +106,15 @@ class Config:
     rho_hist: float = 0.1
     delta: float = 1e-6
     contribution_clip: int = 10**12
+    bin_bits: int = 13
+    tag_bits: int = 60
+    bin_cap: int = 1024
+    fraction_bits: int = 32
+    guard_bits: int = 8
+    sessions: int = 4
+    soundness_bits: int = 40
+    query_cap: int = 1_000_000
+    field_bits: int = 128
 
     @classmethod
     def parse(cls, text: str) -> Config:
@@ -106,15 +132,35 @@ class Config:
         return cls(**found)
 
     def problems(self) -> list[str]:
+        one = max(self.rho_threshold, self.rho_num, self.rho_den, self.rho_hist)
         rules = [
+            (min(self.rho_threshold, self.rho_num, self.rho_den, self.rho_hist) > 0 and one <= 1, "every rho must lie in (0, 1]"),
+            (0 < self.rho_budget <= 10, "rho_budget must lie in (0, 10]"),
+            (self.rho_threshold + self.rho_num + self.rho_den + self.rho_hist <= self.rho_budget, "one cell exceeds rho_budget"),
+            (0 < self.delta < 1, "delta must lie in (0, 1)"),
+            (self.contribution_clip > 0, "contribution_clip must be positive"),
             (self.k_anonymity >= 1, "k_anonymity must be at least 1"),
             (0 <= self.cover_min <= self.cover_max, "cover_min must not exceed cover_max"),
-            (2 <= self.buckets <= 4096, "buckets must be 2 to 4096"),
-            (self.rho_budget > 0, "rho_budget must be positive"),
-            (min(self.rho_threshold, self.rho_num, self.rho_den, self.rho_hist) > 0, "every rho must be positive"),
-            (self.rho_threshold + self.rho_num + self.rho_den + self.rho_hist <= self.rho_budget, "one cell exceeds rho_budget"),
-            (0 < self.delta < 1e-3, "delta must lie between 0 and 0.001"),
-            (self.contribution_clip >= 1, "contribution_clip must be positive"),
+            (self.cover_max <= 10_000, "cover_max must not exceed 10000"),
+            (1 <= self.bin_bits <= 24, "bin_bits must lie in [1, 24]"),
+            (8 <= self.tag_bits <= 128, "tag_bits must lie in [8, 128]"),
+            (0 < self.bin_cap <= 65_536, "bin_cap must lie in (0, 65536]"),
+            (8 <= self.fraction_bits <= 96, "fraction_bits must lie in [8, 96]"),
+            (0 < self.guard_bits <= 32, "guard_bits must lie in (0, 32]"),
+            (0 < self.buckets <= 4096, "buckets must lie in (0, 4096]"),
+            (self.buckets & (self.buckets - 1) == 0, "buckets must be a power of 2"),
+            (0 < self.sessions <= 64, "sessions must lie in (0, 64]"),
+        ]
+        return [text for ok, text in rules if not ok]
+
+    def warnings(self, firms: int = 10**6) -> list[str]:
+        """Settings that are valid but don't go together."""
+        even = break_even_buckets(firms)
+        rules = [
+            (self.delta <= 2.0**-self.soundness_bits, f"delta exceeds 2^-{self.soundness_bits}, the statistical soundness"),
+            (even / 2 <= self.buckets <= 2 * even, f"buckets lie outside half to twice the break-even number, {even:.0f}"),
+            (self.query_cap * self.sessions <= 10**8, "query_cap times sessions exceeds 10^8"),
+            (2 * self.fraction_bits + 20 <= self.field_bits, "fraction_bits are close to half of field_bits: products may overflow"),
         ]
         return [text for ok, text in rules if not ok]
 

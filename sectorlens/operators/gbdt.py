@@ -31,7 +31,8 @@ def split_search(rows: DataFrame, features: list[str], p: Params = Params()) ->
     up = part.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = by_value.select("node", "feature", "value", F.sum("g").over(up).alias("gl"), F.sum("h").over(up).alias("hl"), F.sum("g").over(part).alias("gt"), F.sum("h").over(part).alias("ht"), F.row_number().over(part.orderBy("value")).alias("rk"), F.count("*").over(part).alias("k"))
     step = F.greatest(F.lit(1), F.floor(F.col("k") / p.most_candidates))
-    summed = summed.where(((F.col("rk") - 1) % step == 0) & (F.col("rk") < F.col("k")))
+    # every step-th value but the last of those
+    summed = summed.where(((F.col("rk") - 1) % step == 0) & (F.col("rk") - 1 < step * F.floor((F.col("k") - 1) / step)))
     score = lambda g, h: g * g / (h + p.lam)
     gain = 0.5 * (score(F.col("gl"), F.col("hl")) + score(F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")) - score(F.col("gt"), F.col("ht"))) - p.gamma
     best = Window.partitionBy("node").orderBy(F.desc("gain"), "feature", "threshold")

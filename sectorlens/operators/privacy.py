@@ -1,4 +1,4 @@
-"""Noise, accountants and composition. Small driver-side Python; randomness from the operating system."""
+"""Noise, accountants, composition and what attackers and auditors measure. Randomness from the operating system."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 _system = random.SystemRandom()
 
 
@@ -39,6 +42,22 @@ def cover(k_min: int, k_max: int, randint: Callable[[int, int], int] = _system.r
     return k_min + randint(0, half) + randint(0, half)
 
 
+def noise_report(draws: DataFrame, s: float, value: str = "value", tolerance: float = 0.2) -> DataFrame:
+    """Mean, variance and distinct values of drawn noise against its target variance."""
+    found = draws.agg(F.avg(value).alias("mean"), F.var_pop(value).alias("variance"), F.count_distinct(value).alias("unique_values"))
+    return found.withColumns({"target_variance": F.lit(s * s), "passes": F.abs(F.col("variance") - s * s) / (s * s) < tolerance})
+
+
+def clipped_mean_step(rows: DataFrame, value: str, clip: float, noise: float) -> float:
+    """One private averaging round for a column: gradients about the mean, clipped one by one, summed and noised; the mean moved by their average."""
+    first = rows.agg(F.avg(value).alias("m"), F.count(value).alias("n")).first()
+    if not first.n:
+        return 0.0
+    gradient = F.greatest(F.least(F.col(value) - first.m, F.lit(float(clip))), F.lit(-float(clip)))
+    total = rows.agg(F.sum(gradient).alias("s")).first().s
+    return first.m + (total + _system.gauss(0.0, noise * clip)) / first.n
+
+
 def basic_composition(parts: list[tuple[float, float]]) -> tuple[float, float]:
     return sum(e for e, _ in parts), sum(d for _, d in parts)
 
@@ -48,6 +67,13 @@ def gaussian_rdp(noise: float, steps: int, delta: float) -> float:
     return min(steps * a / (2 * noise**2) + math.log(1 / delta) / (a - 1) for a in (1 + x / 10 for x in range(1, 1000)))
 
 
+def attack_report(trials: DataFrame) -> DataFrame:
+    """Accuracy of guesses (columns member, guess), the advantage over a coin, and the epsilon that it shows."""
+    accuracy = F.avg((F.col("member") == F.col("guess")).cast("double"))
+    found = trials.agg(F.count("*").alias("trials"), accuracy.alias("accuracy")).withColumn("advantage", F.abs(F.col("accuracy") - 0.5))
+    return found.withColumn("epsilon", F.when(F.col("advantage") >= 0.5, F.lit(999.0)).otherwise(F.log((0.5 + F.col("advantage")) / (0.5 - F.least(F.col("advantage"), F.lit(0.499999999))))))
+
+
 def attacker_accuracy_bound(mu: float) -> float:
     """Best accuracy of telling neighbouring inputs apart under Gaussian privacy mu."""
     return 0.5 * (1 + math.erf(mu / 2 / math.sqrt(2)))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import uniform_from
 from .privacy import EpsilonLedger, laplace
 
 
@@ -41,6 +42,55 @@ def cardinality_sum(parties: list[DataFrame], by: str | None = None) -> DataFram
     return per_id.groupBy(*([by] if by else [])).agg(F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("total"))
 
 
+def party_values(first: DataFrame, others: list[DataFrame]) -> DataFrame:
+    """Ids of the first party that all others hold, with the value that each of them has (one value an id and party)."""
+    n = len(others)
+    rows = first.select("id", F.lit(1).alias("bit"), F.lit(None).cast("long").alias("value"))
+    for i, p in enumerate(others, 1):
+        rows = rows.unionByName(p.select("id", F.lit(1 << i).alias("bit"), F.col("value").cast("long").alias("value")))
+    held = rows.where("id is not null").groupBy("id").agg(F.bit_or("bit").alias("mask"), *(F.max(F.when(F.col("bit") == 1 << i, F.col("value"))).alias(f"value_{i + 1}") for i in range(1, n + 1)))
+    return held.where(F.col("mask") == (1 << n + 1) - 1).drop("mask")
+
+
+class TooFew(RuntimeError):
+    """The intersection is under the threshold; the message doesn't tell its size."""
+
+
+def require(parties: list[DataFrame], k: int) -> DataFrame:
+    """The intersection, or an error if it has under k ids."""
+    found = intersection(parties)
+    if found.limit(k).count() < k:  # no more is counted than the threshold asks for
+        raise TooFew(f"the intersection has fewer than {k} ids")
+    return found
+
+
+def noisy_cardinality(parties: list[DataFrame], epsilon: float) -> float:
+    """Size of the intersection with Laplace noise from the system's randomness."""
+    return cardinality(parties).first().n + laplace(1 / epsilon)
+
+
+def seeded_noisy_cardinality(parties: list[DataFrame], epsilon: float, seed: str) -> DataFrame:
+    """The same, reproducibly: NOT private."""
+    u = uniform_from("laplace", seed) - 0.5
+    return cardinality(parties).select((F.col("n") - F.signum(u) * F.log(1 - F.least(2 * F.abs(u), F.lit(0.999999))) / epsilon).alias("noisy"))
+
+
+def subsampled(rows: DataFrame, q: float, seed: str, key: str = "id") -> DataFrame:
+    """Poisson subsample: every id is in with probability q, by a hash of it, so that all its rows are."""
+    return rows.where(uniform_from("sample", seed, F.col(key).cast("string")) < q)
+
+
+def truncated(rows: DataFrame, k: int, order: str = "id") -> DataFrame:
+    """The first k rows."""
+    return rows.orderBy(order).limit(k)
+
+
+def column_sums(rows: DataFrame) -> DataFrame:
+    """Per column the sum of its values' hashes: equal before and after a shuffle that loses, adds or changes nothing."""
+    part = lambda c: F.conv(F.substring(F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("\0")), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.agg(*(F.coalesce(F.sum(part(c)), F.lit(0)).cast("decimal(38,0)").alias(c) for c in rows.columns))
+
+
 def venn_cells(parties: list[DataFrame]) -> DataFrame:
     """Ids by the exact set of parties that hold them."""
     return _marked(parties).groupBy("mask").agg(F.count("*").alias("n"))

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import fixed_point_ratio, row_tag
+from .functions.columns import fixed, fixed_multiply, fixed_point_ratio, length_prefixed, reciprocal_holds, row_tag
 from .operators import align as alignment
 from .operators import gbdt, rank, release, setops
 from .operators.aggregate import CELL, bucket_midpoints, cdf, dense_histogram, histogram, interpolated, percentiles, reconcile, sector_ratios
 from .operators.metrics import coverage, inclusion_audit, totals
 from .operators.prep import duplicates, prepare
-from .operators.privacy import RhoBudget
+from .operators.privacy import RhoBudget, attack_report, noise_report, sigma
 from .plans import panel
 from .plans.panel import table
 from .schema import CORE, INCOME, LENDING, METRICS, WORKFORCE
-from .sources.generate import attack_trials, firm_panel
+from .sources.files import hex_blocks
+from .sources.generate import attack_trials, firm_panel, noise_draws
 from .streaming.cells import event_cells
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,7 +206,8 @@ def sector_ratio_wide(spark: SparkSession, sf: str) -> DataFrame:
     return sector_ratios(panel.aligned(spark, sf)).groupBy("sector", "period").agg(*(F.max(F.when(F.col("metric") == m.name, F.col("ratio"))).alias(m.name.lower()) for m in METRICS))
 
 
-@query(f"{LONG} SELECT metric, CAST(sum(incl) AS BIGINT) AS n_valid, 1 AS reconciled FROM m GROUP BY metric")
+@query(f"""{LONG}, g AS ({_totals_sql('')}), t AS (SELECT metric, sum(sum_num) AS sn, sum(sum_den) AS sd, sum(n_valid) AS n FROM ({_totals_sql('sector, period, ')}) GROUP BY metric)
+SELECT metric, n_valid, CAST(sum_num = sn AND sum_den = sd AND n_valid = n AS INTEGER) AS reconciled FROM g JOIN t USING (metric)""")
 def reconcile_totals(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile(panel.aligned(spark, sf))
 
@@ -288,12 +292,18 @@ def release_exact(spark: SparkSession, sf: str) -> DataFrame:
     return release.exact_release(panel.metrics(spark, sf))
 
 
-@query()
+_RELEASED = f"{GATE}, g AS ({_GATED}), p AS (SELECT sector, period, metric, {PCT} FROM f GROUP BY sector, period, metric), e AS (SELECT g.*, {', '.join(f'CASE WHEN released = 1 THEN p{q} ELSE 0 END AS p{q}' for q in (25, 50, 75, 90, 95, 99))} FROM g LEFT JOIN p USING (sector, period, metric))"
+
+
+@query(f"{_RELEASED} SELECT * FROM e")
 def release_json(spark: SparkSession, sf: str) -> DataFrame:
-    return release.release_json(release.exact_release(panel.metrics(spark, sf)))
+    """The release as JSON rows, read back: nothing may be lost on the way."""
+    released = release.exact_release(panel.metrics(spark, sf))
+    return release.from_release_json(release.release_json(released), released.schema)
 
 
-@query(f"{GATE} SELECT count(*) AS cells, CAST(count(*) FILTER (n_valid >= 5) AS BIGINT) AS released, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS leaking, CAST(0 AS BIGINT) AS falling FROM t")
+@query(f"""{_RELEASED} SELECT count(*) AS cells, CAST(sum(released) AS BIGINT) AS released, CAST(count(*) FILTER (n_valid < 0) AS BIGINT) AS negative, CAST(count(*) FILTER (released = 0 AND n_valid <> 0) AS BIGINT) AS leaking,
+CAST(count(*) FILTER (NOT (coalesce(p25, 0) <= coalesce(p50, 0) AND coalesce(p50, 0) <= coalesce(p75, 0) AND coalesce(p75, 0) <= coalesce(p90, 0) AND coalesce(p90, 0) <= coalesce(p95, 0) AND coalesce(p95, 0) <= coalesce(p99, 0))) AS BIGINT) AS falling FROM e""")
 def release_audit(spark: SparkSession, sf: str) -> DataFrame:
     return release.release_audit(release.exact_release(panel.metrics(spark, sf)))
 
@@ -312,11 +322,25 @@ def cover_firms_seeded(spark: SparkSession, sf: str) -> DataFrame:
     return release.cover_firms(totals(panel.aligned(spark, sf), "sector", "period"), 3, 15, "seed").select(*CELL, "n_valid", "n_covered")
 
 
-@query()
+_NORMAL = lambda s, *key: f"CAST(round(CAST('{s!r}' AS DOUBLE) * sqrt(-2 * ln({_U.format(chr(39) + 'u|' + chr(39) + ' || ' + key[0])})) * cos(CAST('{2 * math.pi!r}' AS DOUBLE) * ({_U.format(chr(39) + 'v|' + chr(39) + ' || ' + key[0])}))) AS BIGINT)"
+_NOISED = f"""{GATE}, q AS (SELECT sector, period, metric, map_from_entries(list((bucket, cnt))) AS m FROM h GROUP BY ALL),
+nh AS (SELECT t.*, list_transform(range(128), lambda b: greatest(0, coalesce(CAST(m[CAST(b AS INTEGER)] AS BIGINT), 0) + {_NORMAL(sigma(math.sqrt(2), 0.1), "'seed|' || sector || '|' || period || '|' || metric || '|' || b")})) AS hist FROM t LEFT JOIN q USING (sector, period, metric))"""
+
+
+@query(f"{_NOISED} SELECT sector, period, metric, array_to_string(hist, ',') AS hist FROM nh")
 def dp_histogram_seeded(spark: SparkSession, sf: str) -> DataFrame:
     m = panel.metrics(spark, sf)
-    cells = totals(m, "sector", "period").select(*CELL)
-    return release.seeded_histogram_noise(dense_histogram(histogram(m), cells), 0.1, "seed")
+    cells = totals(panel.aligned(spark, sf), "sector", "period").select(*CELL)
+    return release.seeded_histogram_noise(dense_histogram(histogram(m), cells), 0.1, "seed").withColumn("hist", F.array_join("hist", ","))
+
+
+_CLAMPED = f"""{_NOISED}, nb AS (SELECT sector, period, metric, unnest(range(128)) AS bucket, unnest(hist) AS cnt, CASE WHEN sum_den > 0 THEN CAST(sum_num AS DOUBLE) / CAST(sum_den AS DOUBLE) END AS ratio, CAST(n_valid > 0 AS INTEGER) AS ratio_incl FROM nh),
+nf AS (SELECT *, sum(cnt) OVER (PARTITION BY sector, period, metric ORDER BY bucket) AS cum, sum(cnt) OVER (PARTITION BY sector, period, metric) AS total FROM nb)"""
+
+
+@query(f"{_CLAMPED} SELECT sector, period, metric, max(ratio) AS ratio, max(ratio_incl) AS ratio_incl, CAST(max(total) AS BIGINT) AS n_valid, {', '.join(f'CAST(coalesce(min(CASE WHEN total > 0 AND cum >= greatest(1, ({q} * total + 99) // 100) THEN bucket END), 0) AS INTEGER) AS p{q}' for q in (25, 50, 75, 90, 95, 99))} FROM nf GROUP BY sector, period, metric")
+def noisy_release_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    return release.noisy_release_seeded(panel.metrics(spark, sf), 0.1, "seed").drop("hist")
 
 
 @query()
@@ -324,11 +348,47 @@ def noisy_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return release.noisy_threshold(panel.metrics(spark, sf), release.NoisyThreshold(), RhoBudget(cap=1000.0))
 
 
-@query()
+@query(f"{HIST}, t AS ({_totals_sql('sector, period, ')}), s AS (SELECT sector, period, metric, sum(cnt) AS total FROM h GROUP BY ALL) SELECT sector, period, metric, n_valid, CAST(coalesce(total, 0) = n_valid AS INTEGER) AS exact FROM t LEFT JOIN s USING (sector, period, metric)")
+def histogram_sums(spark: SparkSession, sf: str) -> DataFrame:
+    return release.sums_to_n(histogram(panel.metrics(spark, sf)), totals(panel.aligned(spark, sf), "sector", "period"))
+
+
+@query(f"""{_NOISED}, g AS ({_GATED}), r AS (SELECT metric, sum(sum_num) AS sn, sum(n_valid) AS n FROM t GROUP BY metric), w AS (SELECT metric, sum(num) AS sn, sum(incl) AS n FROM m GROUP BY metric)
+SELECT (SELECT count(*) FROM al) AS aligned_rows, (SELECT count(*) > 0 FROM al) AS alignment_ok, (SELECT CAST(sum(incl) AS BIGINT) FROM m WHERE metric IN ('DTI', 'DSI', 'Delq', 'NPL')) AS core_included,
+(SELECT bool_and(coalesce(r.sn, 0) = coalesce(w.sn, 0) AND r.n = w.n) FROM r JOIN w USING (metric)) AS totals_match, (SELECT bool_and(list_min(hist) >= 0) FROM nh) AS bins_not_negative, (SELECT CAST(sum(released) AS BIGINT) FROM g) AS cells_released""")
+def pipeline_audit(spark: SparkSession, sf: str) -> DataFrame:
+    m, budget = panel.metrics(spark, sf), RhoBudget()
+    budget.charge(0.1)
+    row, _ = release.pipeline_audit(panel.aligned(spark, sf), m, release.noisy_release_seeded(m, 0.1, "seed"), release.exact_release(m), budget)
+    return row.select("aligned_rows", "alignment_ok", "core_included", "totals_match", "bins_not_negative", "cells_released")
+
+
+def _trials_sql(epsilon: float, subsample: float) -> str:
+    u = {x: _U.format(f"'trial|{x}|' || id") for x in ("coin", "sample", "noise")}
+    return f"""(SELECT *, CAST(100 + counted - sign(u) * ln(1 - least(2 * abs(u), CAST(0.999999 AS DOUBLE))) / CAST({epsilon} AS DOUBLE) > CAST({100 + 0.5 * subsample} AS DOUBLE) AS INTEGER) AS guess
+FROM (SELECT CAST({u["coin"]} < 0.5 AS INTEGER) AS member, CAST({u["coin"]} < 0.5 AND {u["sample"]} < {subsample} AS INTEGER) AS counted, {u["noise"]} - 0.5 AS u FROM range(4000) r(id)))"""
+
+
+@query(f"SELECT member, guess, count(*) AS n FROM {_trials_sql(1.0, 1.0)} GROUP BY ALL")
 def membership_trials(spark: SparkSession, sf: str) -> DataFrame:
     return attack_trials(spark, 4000, 1.0).groupBy("member", "guess").agg(F.count("*").alias("n"))
 
 
+SWEEP = ((0.5, 1.0), (1.0, 1.0), (2.0, 1.0), (2.0, 0.5), (2.0, 0.1))
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({e} AS DOUBLE) AS noise_epsilon, CAST({q} AS DOUBLE) AS subsample, trials, accuracy, advantage, round(ln((0.5 + advantage) / (0.5 - advantage)), 9) AS epsilon FROM (SELECT count(*) AS trials, avg(CAST(member = guess AS DOUBLE)) AS accuracy, abs(avg(CAST(member = guess AS DOUBLE)) - 0.5) AS advantage FROM {_trials_sql(e, q)})" for e, q in SWEEP))
+def attack_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [attack_report(attack_trials(spark, 4000, e, subsample=q)).select(F.lit(e).alias("noise_epsilon"), F.lit(q).alias("subsample"), "trials", "accuracy", "advantage", F.round("epsilon", 9).alias("epsilon")) for e, q in SWEEP]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"SELECT round(avg(x), 9) AS mean, round(var_pop(x), 6) AS variance, count(DISTINCT x) AS unique_values, CAST(10 AS DOUBLE) AS target_variance, abs(var_pop(x) - 10) / 10 < 0.2 AS passes FROM (SELECT {_NORMAL(math.sqrt(10), chr(39) + 'noise|' + chr(39) + ' || id')} AS x FROM range(20000) r(id))")
+def noise_quality(spark: SparkSession, sf: str) -> DataFrame:
+    found = noise_report(noise_draws(spark, 20_000, math.sqrt(10)), math.sqrt(10))
+    return found.withColumns({"mean": F.round("mean", 9), "variance": F.round("variance", 6), "target_variance": F.round("target_variance", 9)})
+
+
 # sets and joins ------------------------------------------------------------------------------------------------------
 
 YEARS = (1995, 1996, 1997)
@@ -394,6 +454,65 @@ def venn_risk(spark: SparkSession, sf: str) -> DataFrame:
     return setops.identification_risk(setops.venn_cells(parties(spark, sf)))
 
 
+@query(f"WITH {_PARTIES} SELECT id, p1.value AS value_2, p2.value AS value_3 FROM p0 JOIN p1 USING (id) JOIN p2 USING (id)")
+def party_values(spark: SparkSession, sf: str) -> DataFrame:
+    p = parties(spark, sf)
+    return setops.party_values(p[0], p[1:])
+
+
+@query(f"{_VENN} SELECT id FROM k WHERE mask = 7 AND (SELECT count(*) FROM k WHERE mask = 7) >= 5")
+def threshold_intersection(spark: SparkSession, sf: str) -> DataFrame:
+    return setops.require(parties(spark, sf), 5)
+
+
+_LAPLACE = f"(SELECT {_U.format(chr(39) + 'laplace|seed' + chr(39))} - 0.5 AS u)"
+
+
+@query(f"{_VENN} SELECT round((SELECT count(*) FROM k WHERE mask = 7) - sign(u) * ln(1 - least(2 * abs(u), CAST(0.999999 AS DOUBLE))) / CAST(0.5 AS DOUBLE), 6) AS noisy FROM {_LAPLACE}")
+def noisy_cardinality_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    return setops.seeded_noisy_cardinality(parties(spark, sf), 0.5, "seed").select(F.round("noisy", 6).alias("noisy"))
+
+
+@query(f"SELECT c_custkey FROM customer WHERE {_U.format(chr(39) + 'sample|seed|' + chr(39) + ' || c_custkey')} < 0.25")
+def poisson_subsample(spark: SparkSession, sf: str) -> DataFrame:
+    return setops.subsampled(table(spark, sf, "customer").select("c_custkey"), 0.25, "seed", "c_custkey")
+
+
+@query("SELECT o_custkey AS id, o_orderkey AS payload FROM orders ORDER BY o_orderkey LIMIT 100")
+def truncate_to_k(spark: SparkSession, sf: str) -> DataFrame:
+    return setops.truncated(table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("payload")), 100, "payload")
+
+
+_SUMMED = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query(f"SELECT {', '.join(f'CAST(sum(CAST((chr(48) || chr(120) || substr(sha256(coalesce(CAST({c} AS VARCHAR), chr(0))), 1, 15)) AS BIGINT)) AS DECIMAL(38,0)) AS {c}' for c in _SUMMED)} FROM customer")
+def column_checksums(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the rows after a random permutation; SQL adds up the table as it is."""
+    return setops.column_sums(setops.shuffled(table(spark, sf, "customer").select(*_SUMMED), 7))
+
+
+@query("SELECT c_custkey, lower(rpad(hex(c_name), 64, '0'))[1:32] AS c_name_b0, lower(rpad(hex(c_name), 64, '0'))[33:64] AS c_name_b1 FROM customer")
+def payload_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = hex_blocks(F.col("c_name"), 2)
+    return table(spark, sf, "customer").select("c_custkey", *(b.alias(f"c_name_b{i}") for i, b in enumerate(blocks)))
+
+
+@query("SELECT c_custkey, sha256(strlen(c_name) || ':' || c_name || strlen(c_mktsegment) || ':' || c_mktsegment) AS digest FROM customer")
+def prefixed_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", F.sha2(length_prefixed(F.col("c_name"), F.col("c_mktsegment")), 256).alias("digest"))
+
+
+_FP = "CAST(floor({} * 4294967296.0::DOUBLE) AS HUGEINT)"
+
+
+@query(f"SELECT p_partkey, CAST(({_FP.format('p_retailprice')} * {_FP.format('p_size / 64.0::DOUBLE')}) // 4294967296 AS DECIMAL(38,0)) AS product, CAST(4294967296 // p_size AS DECIMAL(38,0)) AS reciprocal, abs(p_size * (4294967296 // p_size) - 4294967296) <= p_size AS holds FROM part")
+def fixed_point_product(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size").cast("long")
+    reciprocal = F.call_function("div", F.lit(1 << 32), size).cast("decimal(38,0)")
+    return table(spark, sf, "part").select("p_partkey", fixed_multiply(fixed(F.col("p_retailprice")), fixed(F.col("p_size") / 64.0)).alias("product"), reciprocal.alias("reciprocal"), reciprocal_holds(size, reciprocal).alias("holds"))
+
+
 def _order_rows(spark: SparkSession, sf: str, year: int) -> DataFrame:
     return table(spark, sf, "orders").where(F.year("o_orderdate") == year).select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("payload"))
 
@@ -457,7 +576,7 @@ def gbdt_leaf_values(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT unnest(['l_quantity', 'l_linenumber']) AS feature, unnest([l_quantity, CAST(l_linenumber AS DOUBLE)]) AS v, 0.5 - CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE 0 END AS g, CAST(0.25 AS DOUBLE) AS h FROM lineitem),
 s AS (SELECT feature, v, sum(g) AS g, sum(h) AS h FROM r GROUP BY feature, v),
 c AS (SELECT feature, v, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER p AS gt, sum(h) OVER p AS ht, row_number() OVER u AS rk, count(*) OVER p AS k FROM s WINDOW p AS (PARTITION BY feature), u AS (PARTITION BY feature ORDER BY v)),
-e AS (SELECT feature, v AS threshold, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM c WHERE (rk - 1) % greatest(1, k // 16) = 0 AND rk < k)
+e AS (SELECT feature, v AS threshold, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM c WHERE (rk - 1) % greatest(1, k // 16) = 0 AND rk - 1 < greatest(1, k // 16) * ((k - 1) // greatest(1, k // 16)))
 SELECT 1 AS node, feature, threshold, gain FROM e WHERE gain > 0 ORDER BY gain DESC, feature, threshold LIMIT 1""")
 def gbdt_split_search(spark: SparkSession, sf: str) -> DataFrame:
     g, h = gbdt.gradients(F.lit(0.0), F.col("label"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[int] = set()
+_shipped: set[str] = set()
 
 
 def session(app: str = "sectorlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,7 +24,7 @@ def session(app: str = "sectorlens", master: str | None = None, **conf: str) ->
 def ship(spark: SparkSession) -> None:
     """Give the package to Python workers, wherever they run; once for each context."""
     context = spark.sparkContext
-    if id(context) in _shipped:
+    if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="sectorlens-")
@@ -32,4 +33,15 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(archive)
-    _shipped.add(id(context))
+    _shipped.add(context.applicationId)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df from files in spark.checkpoint.dir: computed once, whatever is lost later. A local session without the setting gets a temporary folder; a cluster must name one."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sectorlens-"))
+    return df.checkpoint()

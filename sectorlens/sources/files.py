@@ -40,3 +40,15 @@ def write_pairs_csv(joined: DataFrame, path: str) -> None:
 
 def write_release_json(released: DataFrame, path: str) -> None:
     released.select(F.to_json(F.struct(*released.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def hex_blocks(payload: Column, blocks: int) -> list[Column]:
+    """A payload's bytes as so many 16-byte blocks in hex, filled up with zeros; a longer payload raises."""
+    digits = F.lower(F.hex(payload.cast("binary")))
+    checked = F.when(F.length(digits) <= 32 * blocks, F.rpad(digits, 32 * blocks, "0")).otherwise(F.raise_error(F.lit("a payload is longer than its blocks")))
+    return [F.substring(checked, 32 * i + 1, 32) for i in range(blocks)]
+
+
+def write_blocks_csv(joined: DataFrame, path: str, blocks: int = 1) -> None:
+    """Payload columns as hex blocks, party by party; ids are not written."""
+    joined.select(*(b.alias(f"{c}_b{i}") for c in joined.columns if c != "id" for i, b in enumerate(hex_blocks(F.col(c).cast("string"), blocks)))).write.mode("overwrite").csv(path)

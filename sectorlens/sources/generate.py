@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,17 @@ def fixed_point_set(spark: SparkSession, party: int, rows: int, scale: int = 10*
     return spark.range(rows).select(F.col("id").cast("string").alias("id"), (F.floor(uniform_from(f"party{party}", F.col("id").cast("string")) * 1000 * scale)).cast("long").alias("value"))
 
 
-def attack_trials(spark: SparkSession, trials: int, epsilon: float, count: int = 100, seed: str = "trial") -> DataFrame:
-    """Membership inference: per trial a coin decides whether the firm is in, the attacker sees a Laplace-noised count and guesses."""
+def attack_trials(spark: SparkSession, trials: int, epsilon: float, count: int = 100, seed: str = "trial", subsample: float = 1.0) -> DataFrame:
+    """Membership inference: per trial a coin decides whether the firm is a member, a subsample whether a member counts; the attacker sees a Laplace-noised count and guesses."""
     key = F.col("id").cast("string")
     coin = (uniform_from(seed, "coin", key) < 0.5).cast("int")
+    counted = coin * (uniform_from(seed, "sample", key) < subsample).cast("int")
     u = uniform_from(seed, "noise", key) - 0.5
-    noisy = F.lit(count) + coin - F.signum(u) * F.log(1 - F.least(2 * F.abs(u), F.lit(0.999999))) / epsilon
-    return spark.range(trials).select("id", coin.alias("member"), noisy.alias("seen"), (noisy > count + 0.5).cast("int").alias("guess"))
+    noisy = F.lit(count) + counted - F.signum(u) * F.log(1 - F.least(2 * F.abs(u), F.lit(0.999999))) / epsilon
+    return spark.range(trials).select("id", coin.alias("member"), noisy.alias("seen"), (noisy > count + 0.5 * subsample).cast("int").alias("guess"))
+
+
+def noise_draws(spark: SparkSession, draws: int, s: float, seed: str = "noise") -> DataFrame:
+    """Rounded Gaussian noise, reproducible: for reports on its quality, not for releases."""
+    u, v = (uniform_from(x, seed, F.col("id").cast("string")) for x in "uv")
+    return spark.range(draws).select("id", F.round(s * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)).cast("long").alias("value"))

@@ -127,3 +127,129 @@ def test_million_firm_shape(spark):
 
     released = kanon_gate(sector_ratios(entity_metrics(firm_panel(spark, 20_000))))
     assert released.count() == 180 and released.where("released = 1").count() == 160
+
+
+def test_noisy_release_percentiles(spark):
+    rows = [(f"f{i}", 1, 1, "DTI", 3, 10, 1, 38) for i in range(20_000)]
+    m = spark.createDataFrame(rows, "entity_id string, period int, sector int, metric string, num long, den long, incl int, bucket int")
+    budget = RhoBudget(cap=1.0)
+    found = noisy_threshold(m, NoisyThreshold(num_max=10, den_max=10), budget)
+    r = found.first()
+    assert found.first() == r  # drawn once
+    sums = [sum(r.hist[: i + 1]) for i in range(128)]
+    for q in (25, 50, 75, 90, 95, 99):
+        assert r[f"p{q}"] == next(i for i, c in enumerate(sums) if c >= max(1, -(-q * sums[-1] // 100)))
+    assert r.p50 == 38 and min(r.hist) >= 0
+
+
+def test_attack_noise_and_private_step(spark):
+    from sectorlens.operators.privacy import attack_report, attacker_accuracy_bound, basic_composition, clipped_mean_step, gaussian_rdp, laplace, noise_report
+    from sectorlens.sources.generate import attack_trials, noise_draws
+
+    full, part = (attack_report(attack_trials(spark, 4000, 2.0, subsample=q)).first() for q in (1.0, 0.1))
+    assert 0.5 < full.accuracy < 0.9 and part.advantage < full.advantage and full.epsilon == pytest.approx(math.log((0.5 + full.advantage) / (0.5 - full.advantage)))
+    r = noise_report(noise_draws(spark, 20_000, 3.0), 3.0).first()
+    assert r.passes and abs(r.mean) < 0.1 and r.unique_values > 10 and not noise_report(noise_draws(spark, 1000, 3.0), 6.0).first().passes
+    values = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 100)], "v double")
+    assert clipped_mean_step(values, "v", 1e6, 0.0) == pytest.approx(26.5) and clipped_mean_step(values, "v", 10.0, 0.0) == pytest.approx(26.5 + (10 - 30) / 4)
+    assert clipped_mean_step(values.limit(0), "v", 1.0, 0.0) == 0.0
+    assert attacker_accuracy_bound(0) == 0.5 and attacker_accuracy_bound(10) == pytest.approx(1, abs=1e-5) and basic_composition([(1, 0.1), (2, 0.2)]) == (3, pytest.approx(0.3))
+    assert gaussian_rdp(10, 1, 1e-6) < gaussian_rdp(10, 4, 1e-6)
+    draws = [laplace(2.0) for _ in range(4000)]
+    assert abs(sum(draws)) / 4000 < 0.3 and 1.7 < sum(map(abs, draws)) / 4000 < 2.3
+
+
+def test_thresholds_and_checksums(spark):
+    parties = [party(spark, range(i + 1, i + 65)) for i in range(3)]
+    assert setops.require(parties, 62).count() == 62
+    with pytest.raises(setops.TooFew):
+        setops.require(parties, 63)
+    assert abs(setops.noisy_cardinality(parties, 50.0) - 62) < 2
+    assert {(r.id, r.value_2, r.value_3) for r in setops.party_values(parties[0], parties[1:]).collect()} == {(i, 100 * i, 100 * i) for i in range(3, 65)}
+    changed = parties[0].withColumn("value", F.when(F.col("id") == 5, 1).otherwise(F.col("value")))
+    one, two, three = (setops.column_sums(x).first() for x in (parties[0], setops.shuffled(parties[0], 3), changed))
+    assert one == two and one.id == three.id and one.value != three.value
+    assert [r.id for r in setops.truncated(parties[0], 3).collect()] == [1, 2, 3]
+    sampled = setops.subsampled(spark.range(4000), 0.25, "s")
+    assert 850 < sampled.count() < 1150 and sampled.exceptAll(setops.subsampled(spark.range(4000), 0.25, "s")).count() == 0
+
+
+def test_config_rules_and_warnings():
+    assert not Config().problems()
+    for change in ({"rho_num": 1.5}, {"rho_budget": 11.0}, {"rho_budget": 0.1}, {"delta": 1.0}, {"contribution_clip": 0}, {"k_anonymity": 0}, {"cover_min": 16}, {"cover_max": 10_001}, {"bin_bits": 25}, {"tag_bits": 7}, {"bin_cap": 0}, {"fraction_bits": 97}, {"guard_bits": 0}, {"buckets": 8192}, {"buckets": 100}, {"sessions": 65}):
+        assert len(Config(**change).problems()) >= 1, change
+    even = Config(delta=1e-13)
+    assert not even.warnings() and len(Config(delta=1e-6, buckets=1024, query_cap=10**8, fraction_bits=60).warnings()) == 4
+
+
+def test_fixed_point(spark):
+    from sectorlens.functions.columns import fixed, fixed_multiply, length_prefixed, newton_reciprocal, reciprocal_holds
+
+    for x in (1, 2, 3, 7, 1000, 123_457, 2**31):
+        y, moved = newton_reciprocal(x)
+        assert y == (1 << 32) // x and moved[-1] == 0 and len(moved) < 64
+        row = spark.range(1).select(reciprocal_holds(F.lit(x), F.lit(y)).alias("a"), reciprocal_holds(F.lit(x), F.lit(y + 2)).alias("b")).first()
+        assert (row.a, row.b) == (True, False)
+    assert spark.range(1).select(fixed_multiply(fixed(F.lit(2.5)), fixed(F.lit(0.5))).alias("p")).first().p == int(1.25 * 2**32)
+    r = spark.range(1).select(length_prefixed(F.lit("ab"), F.lit("c")).alias("x"), length_prefixed(F.lit("a"), F.lit("bc")).alias("y")).first()
+    assert r.x != r.y
+
+
+def test_buckets_equal_the_rule_at_every_edge(spark):
+    from fractions import Fraction
+
+    from sectorlens.functions.columns import bucket_index
+    from sectorlens.schema import METRICS
+
+    for m in METRICS:
+        rows = [(max(0, (e * den + d) // m.scale), den) for e in m.edges for den in (1, 7, 10**7) for d in (-1, 0, 1)] + [(10**14, 1), (5, None), (None, 5)]
+        got = spark.createDataFrame(rows, "n long, d long").select("n", "d", bucket_index(F.col("n"), F.col("d"), m.scale, m.edges, F.lit(True)).alias("b")).collect()
+        for r in got:
+            want = 0 if r.n is None or r.d is None else min(len(m.edges) - 2, max(0, sum(e <= Fraction(r.n * m.scale, r.d) for e in m.edges) - 1))
+            assert r.b == want, (m.name, r)
+
+
+def test_boosting_equals_a_plain_version(spark):
+    import random
+
+    r = random.Random(3)
+    rows_ = [(float(r.randrange(60)), float(r.randrange(5)), r.randrange(2)) for _ in range(500)]
+    p = gbdt.Params(trees=2, depth=2)
+    trees = gbdt.fit(spark.createDataFrame(rows_, "x double, y double, label int"), ["x", "y"], "label", p)
+    margins = [0.0] * len(rows_)
+    for tree in trees:
+        g = [1 / (1 + math.exp(-m)) - row[2] for m, row in zip(margins, rows_, strict=True)]
+        h = [1 / (1 + math.exp(-m)) * (1 - 1 / (1 + math.exp(-m))) for m in margins]
+        node = [1] * len(rows_)
+        for level in range(p.depth):
+            for n in range(1 << level, 2 << level):
+                own = [i for i, x in enumerate(node) if x == n]
+                score = lambda at, g=g, h=h: sum(g[i] for i in at) ** 2 / (sum(h[i] for i in at) + p.lam)
+                best = (0.0, None, None)
+                for f in (0, 1):
+                    values = sorted({rows_[i][f] for i in own})
+                    step = max(1, len(values) // p.most_candidates)
+                    for t in values[::step][:-1]:
+                        left, right = ([i for i in own if (rows_[i][f] <= t) == side] for side in (True, False))
+                        gain = 0.5 * (score(left) + score(right) - score(own))
+                        if gain > best[0] + 1e-12:
+                            best = (gain, f, t)
+                assert tree.splits.get(n) == (None if best[1] is None else ("xy"[best[1]], best[2]))
+                for i in own:
+                    node[i] = n if best[1] is None else 2 * n + (rows_[i][best[1]] > best[2])
+        leaves = {n: -sum(g[i] for i in range(len(node)) if node[i] == n) / (sum(h[i] for i in range(len(node)) if node[i] == n) + p.lam) for n in set(node)}
+        assert tree.leaves == pytest.approx(leaves)
+        margins = [m + p.rate * leaves[n] for m, n in zip(margins, node, strict=True)]
+
+
+def test_blocks_csv(spark, tmp_path):
+    from sectorlens.sources.files import write_blocks_csv, write_pairs_csv
+
+    joined = spark.createDataFrame([("a", "xy", "z" * 20)], "id string, p1 string, p2 string")
+    write_blocks_csv(joined, str(tmp_path / "b"), 2)
+    row = spark.read.csv(str(tmp_path / "b")).first()
+    assert list(row) == [x.encode().hex().ljust(64, "0")[i : i + 32] for x in ("xy", "z" * 20) for i in (0, 32)]
+    write_pairs_csv(joined, str(tmp_path / "p"))
+    assert list(spark.read.csv(str(tmp_path / "p")).first()) == ["xy", "z" * 20]
+    with pytest.raises(Exception, match="longer than its blocks"):
+        write_blocks_csv(joined, str(tmp_path / "c"), 1)
