@@ -26,8 +26,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import trim
+
 #: Words kept with their ids by each Python worker; beyond it words are encoded anew.
-CACHE = 250_000
+CACHE = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -184,6 +186,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                 if decoded:
                     arrays.append(pa.array(map(bpe.decode, rows), pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, [*names, ids, *([decoded] if decoded else [])])
+            trim()
 
     return docs.mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import written, fresh
+from .common import drop, fresh, trim, written
 from .superkmers import U, mix, row_key, word_values
 
 WORDS, SIMILARITY = 5, 0.8
@@ -129,6 +129,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
+        last = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -136,6 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -164,6 +166,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 keys = pa.array([xxhash.xxh3_128_digest(" ".join(texts[i]).encode()) for i in at], pa.binary())
                 offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("t").take(pa.array(at)), keys, pa.array([int(n.sum()) for _, n in sets]), pa.ListArray.from_arrays(offsets, pa.array(h.ravel().view(np.int64))), pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * SKETCH, pa.array(sketches(sets).ravel().view(np.int64)))], ["id", "t", "key", "size", "bands", "sketch"])
+            trim()
 
     # one pass over the texts: a number for the row, its id and text hash, the key of its words, its band hashes and its sketch
     read_once = written(base.mapInArrow(read, "id long, t long, key binary, size long, bands array<long>, sketch array<long>").withColumn("node", F.monotonically_increasing_id()))
@@ -171,10 +174,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = read_once.join(groups.select("key", F.col("rep").alias("node")), ["key", "node"]).select("node", F.explode("bands").alias("band"))
     buckets = signed.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
     met = written(signed.join(buckets, "band"))
-    known = read_once.join(met.select("node").distinct(), "node", "left_semi")
+    known = written(read_once.join(met.select("node").distinct(), "node", "left_semi"))
     named = lambda x: known.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
     fits = lambda pairs: pairs.join(named("a"), "a").join(named("b"), "b").where(may_reach(least, "a_", "b_")).select("a", "b")
-    stars = fits(met.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    stars = written(fits(met.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, tuple] = ("", (np.empty(0, U), np.empty(0, np.int64)))
@@ -185,6 +188,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     last = (a, shingles(split(a.lower()), words))
                 keep.append(similarity(*last[1], *shingles(split(b.lower()), words)) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            trim()
 
     wanted = known.select("node", "id", "t")
     if wanted.count() <= BROADCAST_ROWS:  # else both sides are shuffled
@@ -196,7 +200,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return written(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
     links = linked(stars)
-    comps = components(links)
+    comps = components(links)  # a written table
     placed = met.select("band", "node").join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
     left = written(placed.join(mixed, "band").distinct().join(known, "node"))
@@ -204,8 +208,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     once = F.col("band") == F.coalesce(F.array_min(F.array_intersect("a_bands", "b_bands")), "band")  # of the bands that a pair shares, one makes it
     pairs = one.join(other, "band").where("a_node < b_node and a_comp <> b_comp").where(may_reach(least, "a_", "b_") & once).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(linked(pairs))
-    comps = written(components(links).withColumnRenamed("node", "rep"))
+    others = linked(pairs)
+    comps = written(components(links.unionByName(others)).withColumnRenamed("node", "rep"))
+    drop(met, known, stars, left, links, others)
     lowest = comps.join(groups, "rep").groupBy("comp").agg(F.min("low").alias("lowest"))
     lowest = comps.join(lowest, "comp").select("rep", "lowest")
     members = read_once.select("id", "t", "key").join(groups, "key").join(lowest, "rep", "left")

@@ -2,20 +2,25 @@
 
 The lexicon is the band of terms whose inverse document frequency lies between two
 bounds, counted over all documents. A document's distinct terms of the band are
-sorted and hashed, not as a whole but for several randomised subsets of the lexicon:
-a subset holds each term with a probability that halves from level to level, and a
-document uses the two levels at which about two and one of its terms are left in
-a subset. A fingerprint is the level and a hash for each subset; the likeness of two
-is the share of subsets, on common levels and not empty in both, with equal hashes.
+hashed as a set: once all of them, and once for each of a fixed family of randomised
+lexicon subsets, the same for every document. The family has LEVELS densities, each a
+quarter of the one before, with SUBSETS subsets at each. A text of few terms is told by
+the dense ones, a long text by the thin ones, in which few of its terms are left.
+
+The likeness of two fingerprints is the share of equal hashes among the subsets that
+are not empty for both, taken over the densities at which subsets are thin for them (a
+quarter of the subsets or more empty for one of the two): there the chance of equal
+hashes comes close to the share of common terms.
 
 The band's lower end is a share of the documents, so the lexicon has at most
 (mean distinct terms) / `rarest` entries however many documents there are; it is
-broadcast with that bound.
+broadcast with that bound, which is checked.
 
 Cases: a null text counts as empty; a text without a band term uses all its terms; a
 text without words is fingerprinted as it is; null ids come after all others; rows
-with equal ids are ordered by text; the one row of a table follows itself; an empty
-table gives an empty table; clashing column names are replaced; texts are read whole.
+with equal ids are ordered by a hash of the text; the one row of a table follows itself;
+an empty table gives an empty table; clashing column names are replaced; texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -33,13 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import slices
+from .common import trim
 from .superkmers import U, mix
 
-#: The idf band as document shares, and the number of randomised subsets.
-RAREST, COMMONEST, SUBSETS = 1 / 2000, 1 / 20, 24
-NONE = "------"
+#: The idf band as document shares, and the family of subsets.
+RAREST, COMMONEST, SUBSETS, LEVELS = 1 / 2000, 1 / 20, 16, 6
+NONE = "----"
 MOST = 1_000_000
+#: Terms of a lexicon, 8 bytes each, that a worker is asked to hold at most; texts of 1,000 distinct terms on average reach 2 million.
+MOST_TERMS = 20_000_000
 _seeds = mix(np.arange(1, SUBSETS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+_least = np.array([[1 << 64 - 2 * level] for level in range(1, LEVELS + 1)], dtype=U)
 _find = re.compile(r"\w+").findall
 
 
@@ -49,20 +59,31 @@ def terms(text: str) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), U, len(words)))
 
 
+def band(t: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    if not len(lexicon):
+        return t
+    at = np.minimum(np.searchsorted(lexicon, t), len(lexicon) - 1)
+    found = t[lexicon[at] == t]
+    return found if len(found) else t
+
+
 def fingerprint(text: str, lexicon: np.ndarray) -> str:
+    """The hash of all band terms and LEVELS groups of SUBSETS hashes of four digits, densest first."""
     t = terms(text)
     if not len(t):
         return "x:" + xxhash.xxh3_64_hexdigest(text.encode())
-    if len(lexicon):
-        at = np.minimum(np.searchsorted(lexicon, t), len(lexicon) - 1)
-        band = t[lexicon[at] == t]
-        t = band if len(band) else t
-    level = int(math.log2(len(t)))
-    h = mix(t[None, :] ^ _seeds[:, None]) >> U(11)
-    out = [str(level)]
-    for share in (min(1.0, 2.0 ** (1 - level)), 2.0**-level):
-        inside = h < U(int(share * 2**53))
-        out.append("".join(xxhash.xxh3_64_hexdigest(t[m].tobytes())[:6] if m.any() else NONE for m in inside))
+    t = band(t, lexicon)
+    value = mix(t)
+    h = mix(t[None, :] ^ _seeds[:, None])
+    out = [f"{int(value.sum(dtype=U)):016x}"]
+    for least in _least[:, 0]:
+        inside = h < least
+        count = inside.sum(axis=1)
+        sums = mix((inside * value).sum(axis=1, dtype=U)) & U(0xFFFF)
+        out.append("".join(f"{x:04x}" if n else NONE for x, n in zip(sums.tolist(), count.tolist(), strict=True)))
+        if not count.any():  # thinner subsets of this text are empty too
+            out += [NONE * SUBSETS] * (LEVELS + 1 - len(out))
+            break
     return ":".join(out)
 
 
@@ -70,16 +91,17 @@ def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     x, y = a.split(":"), b.split(":")
-    if len(x) != 3 or len(y) != 3:
+    if len(x) != LEVELS + 1 or len(y) != LEVELS + 1:
         return 0.0
-    levels = [dict(zip((int(z[0]), int(z[0]) + 1), z[1:], strict=True)) for z in (x, y)]
     same = of = 0
-    for level in levels[0].keys() & levels[1].keys():
-        p, q = levels[0][level], levels[1][level]
-        for i in range(0, 6 * SUBSETS, 6):
-            if p[i : i + 6] != NONE or q[i : i + 6] != NONE:
+    for p, q in zip(x[1:], y[1:], strict=True):
+        if 4 * max(p.count(NONE), q.count(NONE)) < SUBSETS and p is not x[-1]:
+            continue
+        for i in range(0, 4 * SUBSETS, 4):
+            u, v = p[i : i + 4], q[i : i + 4]
+            if u != NONE or v != NONE:
                 of += 1
-                same += p[i : i + 6] == q[i : i + 6]
+                same += u == v
     return same / of if of else 0.0
 
 
@@ -94,7 +116,7 @@ def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commone
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-        for batch in batches:
+        for batch in (part for big in batches for part in slices(big, text)):
             for t in batch.column(0).to_pylist():
                 held.append(terms(t or ""))
                 size += len(held[-1])
@@ -108,7 +130,9 @@ def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commone
     low = max(1, math.ceil(rarest * total))
     high = max(low, math.floor(commonest * total))
     counts = docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n").between(low, high)).select("h").toArrow().column("h").to_numpy()
+    found = counts.where(F.col("n").between(low, high)).select("h").limit(MOST_TERMS + 1).toArrow().column("h").to_numpy()
+    if len(found) > MOST_TERMS:  # nothing is left out: such texts need a narrower band
+        raise ValueError(f"more than {MOST_TERMS} terms in the band; raise the least share of documents")
     return np.sort(found.view(np.uint64))
 
 
@@ -118,7 +142,7 @@ def fingerprints(docs: DataFrame, words: np.ndarray, text: str = "text", out: st
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for big in batches for part in slices(big, text)):
             found = pa.array([fingerprint(t or "", sent.value) for t in batch.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), found], [*(f.name for f in rest), out])
 
@@ -145,9 +169,7 @@ def with_next(docs: DataFrame, words: np.ndarray, doc_id: str = "doc_id", text:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for big in batches for part in slices(big, "text")):
             o = batch.column("o").to_numpy()
             part = np.searchsorted(bounds, o, side="right") - 1
             copies = np.flatnonzero(o == bounds[part])
@@ -180,6 +202,7 @@ def with_next(docs: DataFrame, words: np.ndarray, doc_id: str = "doc_id", text:
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                trim()
 
     dealt = rows.withColumn("tie", F.xxhash64("text")).mapInArrow(deal, "p long, extra boolean, doc_id long, o long, tie long, z binary")
     ordered = dealt.repartition(n, "p").sortWithinPartitions("p", "extra", "o", "tie")

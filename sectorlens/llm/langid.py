@@ -8,12 +8,13 @@ which that language's slice answers falsely, and the largest decides. The score
 is the share of the text's n-grams that the language contains, so corrected.
 
 The filter is learnt from at most `per_lang` labelled texts of each language (a
-bound; the distinct texts with the smallest hashes, so copies count once) and keeps at most `grams` n-grams a language, those in most
-sampled documents; its size is fixed by `bits` and doesn't grow with the input.
+bound; the distinct texts with the smallest hashes, so copies count once) and holds
+all their n-grams. It is put together by Spark: texts become cells with a mask, cells
+are OR-ed, and 2^bits masks at most reach the driver, however much was read.
 
 Cases: a null text, or one without a letter, is `und` with score 0; rows without a
-label teach nothing; with no labelled row at all every text is `und`; equal counts
-go to the first language in order; empty tables give empty tables; clashing column
+label teach nothing; with no labelled row at all every text is `und`; equal shares,
+also if all are 0, go to the first language in order; empty tables give empty tables; clashing column
 names are replaced; texts are read whole, in blocks.
 """
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import drop, written
+from .common import trim
+from .superkmers import mix
 
 UNKNOWN = "und"
 N = 5
@@ -51,12 +53,6 @@ def fold() -> np.ndarray:
     return _fold[0]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def grams(text: str) -> np.ndarray:
     """Hashes of the n-grams of a text, with a space at either end; none if it has no letter. Windows of spaces only are left out."""
     codes = fold()[np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -85,12 +81,7 @@ class BitSlicedFilter:
     wrong: np.ndarray
 
     @classmethod
-    def build(cls, by_language: dict[str, np.ndarray], bits: int = 21) -> BitSlicedFilter:
-        languages, size = sorted(by_language), 1 << bits
-        masks = np.zeros((max(1, -(-len(languages) // 32)), size), np.uint32)
-        for i, lang in enumerate(languages):
-            for c in cells(by_language[lang], size):
-                np.bitwise_or.at(masks[i // 32], c, np.uint32(1 << i % 32))
+    def of(cls, languages: list[str], masks: np.ndarray) -> BitSlicedFilter:
         fill = np.array([(masks[i // 32] >> np.uint32(i % 32) & np.uint32(1)).mean() for i in range(len(languages))])
         return cls(languages, masks, fill**HASHES)
 
@@ -106,13 +97,14 @@ class BitSlicedFilter:
         out = (out / len(h) - self.wrong) / (1 - self.wrong)
         return np.clip(out, 0, 1)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and number of n-grams."""
         h = grams(text) if text else []
         if not len(h) or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, len(h)
         shares = self.shares(h)
         best = int(shares.argmax())
-        return self.languages[best], float(shares[best])
+        return self.languages[best], float(shares[best]), len(h)
 
 
 def sample(rows: DataFrame, per_lang: int) -> DataFrame:
@@ -128,44 +120,34 @@ def sample(rows: DataFrame, per_lang: int) -> DataFrame:
     return hashed.where(under({name: sorted(h)[:per_lang][-1] for name, h in found.items()})).dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 1500, grams_per_lang: int = 60_000, bits: int = 21) -> BitSlicedFilter:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 1500, bits: int = 22) -> BitSlicedFilter:
     """Only rows with a text and a label teach, of those the sampled ones."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    names_seen = [r.lang for r in rows.select("lang").distinct().collect()]
-    if not names_seen:
-        return BitSlicedFilter.build({}, 1)
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    number = {name: i for i, name in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[np.ndarray]] = {}
-        for batch in batches:
-            for t, name in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                found.setdefault(name, []).append(np.unique(grams(t)))
-        for name, arrays in found.items():
-            h, n = np.unique(np.concatenate(arrays), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "h", "n"])
-
-    known = sample(rows, per_lang).mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    known = written(known)
-    sizes = known.groupBy("lang", "n").agg(F.count("*").alias("k")).collect()
-    least = F.lit(False)
-    for name in names_seen:
-        total, cut = 0, None
-        for n, k in sorted(((r.n, r.k) for r in sizes if r.lang == name), reverse=True):
-            total += k
-            if cut is not None and (total > grams_per_lang or n < 2):
-                break
-            cut = n
-        if cut is not None:
-            least = least | ((F.col("lang") == name) & (F.col("n") >= cut))
-    table = known.where(least).select("lang", "h").toArrow()
-    drop(known)
-    names, hashes = np.array(table.column("lang").to_pylist(), dtype=object), table.column("h").to_numpy().view(np.uint64)
-    return BitSlicedFilter.build({name: hashes[names == name] for name in names_seen}, bits)
-
-
-def identify(docs: DataFrame, model: BitSlicedFilter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", keep_text: bool = True) -> DataFrame:
-    """The columns of docs (on request without the text) plus the predicted language and its score."""
-    rest = [f for f in docs.schema.fields if f.name.lower() not in {lang_pred.lower(), score.lower()} and (keep_text or f.name != text)]
+        for big in batches:
+            for batch in slices(big, "text"):
+                found: dict[str, list[np.ndarray]] = {}
+                for t, name in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                    found.setdefault(name, []).append(np.unique(grams(t)))
+                for name, arrays in found.items():
+                    c = np.unique(np.concatenate(cells(np.concatenate(arrays), 1 << bits)))
+                    i = number[name]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), i // 32, np.int32)), pa.array(c), pa.array(np.full(len(c), 1 << i % 32))], ["word", "cell", "mask"])
+
+    masks = np.zeros((max(1, -(-len(languages) // 32)), 1 << bits if languages else 2), np.uint32)
+    if languages:
+        table = sample(rows, per_lang).mapInArrow(run, "word int, cell long, mask long").groupBy("word", "cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+        masks[table.column("word").to_numpy(), table.column("cell").to_numpy()] = table.column("mask").to_numpy().astype(np.uint32)
+    return BitSlicedFilter.of(languages, masks)
+
+
+def identify(docs: DataFrame, model: BitSlicedFilter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", keep_text: bool = True, n_grams: str | None = None) -> DataFrame:
+    """The columns of docs (on request without the text) plus the predicted language, its score and, if named, the number of n-grams that it rests on."""
+    new = [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(n_grams, T.LongType())] if n_grams else [])]
+    rest = [f for f in docs.schema.fields if f.name.lower() not in {x.name.lower() for x in new} and (keep_text or f.name != text)]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +155,10 @@ def identify(docs: DataFrame, model: BitSlicedFilter, text: str = "text", lang_p
         for big in batches:
             for batch in slices(big, text):
                 found = [m.predict(t) for t in batch.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*(f.name for f in rest), lang_pred, score])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *([pa.array([x[2] for x in found], pa.int64())] if n_grams else [])], [*(f.name for f in rest), *(f.name for f in new)])
+            trim()
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*rest, *new]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
 from . import bpe, dart_minhash, decontam, imatch, langid, prefix_counts, substring_dedup, suffix_dedup, tag_paths, url_filter
-from .common import read
+from .common import read, ready
 
 TOKENIZERS: str | None = None  # a folder of tokenizer files; None: the installed public_tokenizers
 RULES = (
@@ -80,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        ready(spark)
         return query(spark, sf_dir)
 
     return run

@@ -32,7 +32,7 @@ def test_a_language_kept_from_learning_is_rejected(spark):
     kept = corpus_pipeline.language(spark, docs, "").select("doc_id", "lang").collect()
     assert sum(x.doc_id < 10**9 and x.lang is None for x in kept) < 0.05 * foreign.count()
     assert sum(x.doc_id < 10**9 and x.lang is not None for x in kept) > 0.98 * own.count()
-    assert {x.doc_id for x in kept if x.doc_id >= 10**9} == {10**9, 10**9 + 1}
+    assert {x.doc_id for x in kept if x.doc_id >= 10**9} == {10**9, 10**9 + 1}  # too few n-grams speak against the first two; the third is foreign
 
 
 def test_rows_that_share_an_id_but_not_the_text(spark):
@@ -86,10 +86,11 @@ def test_run_equals_a_plain_version(spark, tmp_path):
         return [s[i : i + 5] for i in range(max(1, len(s) - 4))] if s.strip() else []
 
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
-    known = {lang: Counter(g for t in {t for d, t, x in rows if x == lang and t and not held(d)} for g in set(grams(t))) for lang in ("xx", "yy")}
-    judged = [(d, t, lang, max((sum(k[g] > 1 for g in grams(t)) / max(1, len(grams(t))), name) for name, k in known.items())) for d, t, lang in rows]
-    least = {name: min(s[0] for d, t, lang, s in judged if held(d) and lang == s[1] == name and len(t or "") >= 40) for name in known}
-    left = [(d, t) for d, t, lang, s in judged if grams(t) and (s[0] >= least[s[1]] or (len(t) < 40 and lang))]
+    known = {lang: {g for t in {t for d, t, x in rows if x == lang and t and not held(d)} for g in grams(t)} for lang in ("xx", "yy")}
+    judged = [(d, t, lang, max((sum(g in k for g in grams(t)) / max(1, len(grams(t))), name) for name, k in known.items())) for d, t, lang in rows]
+    tells = lambda t, score: score + len(grams(t)) ** -0.5
+    least = {name: min(tells(t, s[0]) for d, t, lang, s in judged if held(d) and lang == s[1] == name and grams(t)) for name in known}
+    left = [(d, t) for d, t, lang, s in judged if grams(t) and tells(t, s[0]) >= least[s[1]] - 1e-6]
     assert {d for d, _ in left if d} >= {600, 601, 602, 702} and not {d for d, _ in left if d} & {*range(300, 310), 700, 701, 703}
 
     alone = [x for x in left if x[0] is None]
