@@ -2,46 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorlens.llm import bpe, dart_minhash, decontam, langid, substring_dedup
-from sectorlens.llm.common import ensure_checkpoint_dir, read
+from sectorlens.llm.common import ensure_checkpoint_dir, read, ready, tables_dropped
 from sectorlens.llm.queries import tokenizer
 from sectorlens.llm.superkmers import row_key
-from sectorlens.session import ship
 
-#: Of the texts of a learnt language that many at most, as a share, are rejected: the least score of a language is this quantile of the scores of its labelled rows kept from learning.
+#: Of the texts of a learnt language that many at most, as a share, are rejected: the least evidence of a language is this quantile of the evidence of its labelled rows kept from learning.
 REJECTED = 0.001
-#: Shorter texts that are labelled stay: a few n-grams don't tell. Unlabelled ones need the score like longer ones.
-LEAST_CHARS = 40
-#: The least score where no labelled row was kept from learning.
-LEAST_SCORE = 0.5
+#: The least evidence where no labelled row was kept from learning.
+LEAST_EVIDENCE = 0.6
 
 
-def least_scores(docs: DataFrame, model: langid.BitSlicedFilter) -> dict[str, float]:
-    """Per learnt language the least score of its texts, from labelled rows kept from learning that are long enough and predicted right."""
-    held = docs.where(langid.held_out() & F.col("lang").isNotNull() & (F.char_length("text") >= LEAST_CHARS)).select("text", "lang")
-    right = langid.identify(held, model, lang_pred="_lang_pred", score="_score").where("lang = _lang_pred")
-    found = {r.lang: r.least for r in right.groupBy("lang").agg(F.percentile_approx("_score", REJECTED, 100_000).alias("least")).collect()}
-    return {name: found.get(name, LEAST_SCORE) for name in model.languages}
+def evidence() -> Column:
+    """The score and its greatest possible standard error, twice: a text of few n-grams tells little against its language. One rule for all lengths."""
+    return F.col("_score") + 1 / F.sqrt(F.greatest("_n", F.lit(1)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose score is under that of texts in the learnt languages; sets no column."""
-    ship(spark)
+    """Drops documents without a letter and those that speak less for any learnt language than its own texts do; sets no column. Labels only teach."""
+    ready(spark)
     model = langid.learn(docs.where(~langid.held_out()))
-    least = F.lit(LEAST_SCORE)
-    for name, score in least_scores(docs, model).items():
-        least = F.when(F.col("_lang_pred") == name, score).otherwise(least)
-    found = langid.identify(docs, model, lang_pred="_lang_pred", score="_score")
-    short = (F.char_length("text") < LEAST_CHARS) & F.col("lang").isNotNull()
-    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (short | (F.col("_score") >= least))).select(*docs.columns)
+    found = langid.identify(docs, model, lang_pred="_lang_pred", score="_score", n_grams="_n")
+    right = langid.identify(docs.where(langid.held_out() & F.col("lang").isNotNull()).select("text", "lang"), model, lang_pred="_lang_pred", score="_score", n_grams="_n").where("lang = _lang_pred")
+    known = {r.lang: r.least for r in right.groupBy("lang").agg(F.percentile_approx(evidence(), REJECTED, 100_000).alias("least")).collect()}
+    least = F.lit(LEAST_EVIDENCE)
+    for name in model.languages:
+        least = F.when(F.col("_lang_pred") == name, known.get(name, LEAST_EVIDENCE)).otherwise(least)
+    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (evidence() >= least)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group, by id and text hash; rows without an id stay. Rows equal in id and text become one."""
-    ship(spark)
+    ready(spark)
     found = dart_minhash.near_duplicates(docs, class_id="_class", first="_first").where("doc_id is null or _first")
     k1, k2 = row_key(found, "doc_id", "text")
     first = found.where("doc_id is not null").select(*docs.columns, k1.alias("_k1"), k2.alias("_k2")).dropDuplicates(["_k1", "_k2"])
@@ -50,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; a document of which nothing is left goes."""
-    ship(spark)
+    ready(spark)
     cut = substring_dedup.remove_repeats(docs, out="_kept", n_words="_words", n_removed="_removed")
     cut = cut.withColumn("text", F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("text")))
     cut = cut.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -65,14 +60,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their number beside the document's columns; the text gives way to what the ids decode to."""
-    ship(spark)
+    ready(spark)
     coded = bpe.encode(docs, tokenizer("word_bpe_49k.json"), ids="ids", decoded="decoded")
     return coded.withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("substring_dedup", substrings), ("decontamination", decontaminate), ("bpe_encoding", encode)]
 
-#: Near-duplicate classes and Bloom filters have no SQL form; the stages are tested against brute force.
+#: Near-duplicate classes and Bloom filters have no SQL form; tests/llm/test_pipeline.py compares run() with a plain version on planted documents.
 ORACLE_SQL = None
 
 
@@ -84,7 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{i}-{name}")
+        with tables_dropped():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
