@@ -22,7 +22,7 @@ Cases: documents without words (null, empty) stay alone; under five words, the w
 are one shingle; rows with a null id are returned with a null class; documents are
 told apart by id and text, so rows that share an id but not the text have classes of
 their own; an empty table gives an empty table; clashing column names are replaced;
-texts are read whole.
+texts are read whole; ids must be whole numbers.
 """
 
 from __future__ import annotations
@@ -147,6 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_id: str = "class_id", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, first: str | None = None) -> DataFrame:
     """The columns of docs plus class_id: the smallest id of the documents linked with it, directly or through others; on request also whether the row is the first of them by id and text hash."""
+    if dict(docs.dtypes)[doc_id] not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("document ids must be whole numbers, as the smallest names a class")
     k = bands * rows
     k2 = row_key(docs, doc_id, text)[1]
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), k2.alias("t"), F.col(text).alias("text"))
