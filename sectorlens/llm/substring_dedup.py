@@ -1,17 +1,24 @@
-"""Repeated word spans by super-k-mer runs.
-
-These stand in for De Bruijn compaction: there are no nodes, no test for branches and
-no join that compacts paths. The edges are windows of `length` words. Runs of edges
-of one document with one anchor (see superkmers) take the place of nonbranching
-paths: equal runs are counted as one with a multiplicity, so the copies of a long passage meet as a few counted paths and not
-as all their edges. Paths whose anchor occurs once hold no repeated edge and leave
-first. Where different paths share an anchor, one path of each kind is opened into
-its edges, and a join finds the edges that several kinds share. Repeated paths and
-edges return to their documents by coordinate, where they merge into maximal
-spans; every word of a span is removed, at all its occurrences.
-
-Equal windows are found by 128 bits (anchor and window hash), runs likewise; spans are
-not verified on the words afterwards.
+"""Repeated word spans, by half runs of word windows.
+
+The edges are windows of `length` words. Neighbouring windows of one document with one
+anchor form a half run (see superkmers), a path of edges that travels as one. These
+stand in for the nonbranching paths of a compacted De Bruijn graph: there are no
+nodes, no test for branches and no join that grows paths. Rounds, by the exchange of
+blocks:
+
+1. Anchors (grown to about half a window). Half runs whose anchor occurs once hold no
+   repeated edge and leave.
+2. Paths, as pairs (content, anchor). Those that occur twice or more, in any document,
+   are repeated with all their edges.
+3. Where different paths share an anchor, one of each kind is opened into its edges, as
+   pairs (hash of the first half, hash of the last half of the words); edges that
+   several kinds hold are repeated.
+
+Repeated paths and edges return to their documents by coordinate, where they merge into
+maximal spans; every word of a span is removed, at all its occurrences. A block sends
+an anchor, path or edge at most once, however often it has it, so that the most common
+line makes no task larger than others. Equal words have equal hashes; paths and edges
+are told apart by 96 bits and more, spans are not compared word by word afterwards.
 
 Cases: words are runs of anything but ASCII white space; null texts have none;
 texts under `length` words keep all; a repeated row repeats all its windows; an
@@ -21,6 +28,7 @@ empty table gives an empty table; clashing column names are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,90 +36,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
-from .common import fresh, written
-from .superkmers import Windows, covered, row_key, word_values
+from .blocks import BLOCKS_A_BUCKET, COPIES, KINDS, PARTS, Parts, anchor_bits, answers, grouped, marked, opened, own, shared_anchors, texts_of, to_blocks, unpack, unpack_all
+from .common import drop, fresh, trim, written
+from .superkmers import U, Windows, block_runs, chunks, word_values
 
 LENGTH, ANCHOR = 35, 6
-#: Document keys that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
-
-
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(k1, k2, spans): per document with repeats its key and array<struct<s,e>> of word positions; spans may overlap."""
-    if not 1 <= length < 1024:
-        raise ValueError("length must be under 1024")
-    anchor = min(anchor, max(1, length // 3))
-    k1, k2 = row_key(docs, doc_id, text)
-    rows = docs.where(F.col(text).isNotNull()).select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
-
-    def windows(t: str) -> Windows:
-        return Windows(word_values(t.encode().split()), length, anchor)
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in slices(big, "text"):
-                found = [windows(t).runs() for t in batch.column("text").to_pylist()]
-                sizes = [len(r.start) for r in found]
-                columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("k1", "k2")]
-                s, n, a, c = (np.concatenate([r[i] for r in found]) for i in range(4))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, [*columns, s * 1024 + n, a, c])], ["k1", "k2", "p", "a", "c"])
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in slices(big, "text"):
-                out: list[list[np.ndarray]] = [[] for _ in range(5)]
-                for i, (t, paths) in enumerate(zip(batch.column("text").to_pylist(), batch.column("paths").to_pylist(), strict=True)):
-                    s, n = (np.array([p[x] for p in paths]) for x in "sn")
-                    at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    out[0].append(np.full(len(at), batch.column("k1")[i].as_py()))
-                    out[1].append(np.full(len(at), batch.column("k2")[i].as_py()))
-                    out[2].append(at)
-                    out[3].append(np.repeat(np.array([p["a"] for p in paths]), n))
-                    out[4].append(windows(t).hashes(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["k1", "k2", "s", "a", "w"])
-
-    paths = written(rows.mapInArrow(runs, "k1 long, k2 long, p long, a long, c long"))
-    shared = paths.groupBy("a").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 1")
-    met = written(paths.join(shared.drop("m"), "a"))
-    one_kind = met.where("low = high").select("k1", "k2", "p")
-    several = met.where("low <> high")
-    kinds = several.groupBy("a", "c").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "p")).alias("r"))
-    many = several.join(kinds.where("m > 1").select("a", "c"), ["a", "c"]).select("k1", "k2", "p")
-    by_doc = kinds.select("r.k1", "r.k2", "r.p", "a").groupBy("k1", "k2").agg(F.collect_list(F.struct(F.expr("p div 1024").alias("s"), F.expr("p % 1024").alias("n"), "a")).alias("paths"))
-    by_doc = written(by_doc)
-    wanted = by_doc.select("k1", "k2")
-    few = by_doc.count() <= BROADCAST_ROWS  # else both sides are shuffled
-    rows = rows.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"], "left_semi")
-    # a repeated row opens its paths twice; those paths have m > 1, so all their edges are repeated anyway
-    found = written(rows.join(by_doc, ["k1", "k2"]).mapInArrow(edges, "k1 long, k2 long, s long, a long, w long"))
-    again = found.groupBy("a", "w").agg(F.count("*").alias("m")).where("m > 1").select("a", "w")
-    single = found.join(again, ["a", "w"]).select("k1", "k2", F.col("s"), (F.col("s") + length).alias("e"))
-    whole = one_kind.unionByName(many).select("k1", "k2", F.expr("p div 1024").alias("s"), F.expr(f"p div 1024 + p % 1024 - 1 + {length}").alias("e"))
-    return whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text", n_words: str = "n_words", n_removed: str = "n_removed", length: int = LENGTH) -> DataFrame:
-    """The columns of docs plus the text without the words of repeated windows (joined by one space) and the two counts."""
-    k1, k2, spans = fresh(docs, "k1", "k2", "spans")
-    found = repeated_spans(docs, doc_id, text, length).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans))
-    keys = row_key(docs, doc_id, text)
-    joined = docs.select("*", keys[0].alias(k1), keys[1].alias(k2)).join(found, [k1, k2], "left")
-    new = [T.StructField(out, T.StringType()), T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())]
-    rest = [f for f in docs.schema.fields if f.name.lower() not in {x.name.lower() for x in new}]
+
+
+def word_hashes(table: pa.Table) -> list[np.ndarray]:
+    return [word_values(t.split()) for t in texts_of(table)]
+
+
+def anchor_size(length: int) -> int:
+    return min(ANCHOR, max(1, length // 3))
+
+
+def paths(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Round 2: of each block the half runs whose anchors occur again, as pairs (content, anchor)."""
+    for batch in batches:
+        for block, data, replies in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("anchors"), strict=True):
+            doc, start, count, anchor, content = block_runs(word_hashes(opened(data.as_py())), length, anchor_size(length))
+            a = anchor.view(np.uint64)
+            short = a >> U(64 - bits)
+            known, times = np.unique(short, return_counts=True)
+            shared = np.unique(np.concatenate([known[times > 1], *(np.cumsum(unpack(x), dtype=np.uint64) for x in replies.as_py() or ())]))
+            if not len(shared):
+                continue
+            keep = shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short
+            doc, start, count, a, c = (v[keep] for v in (doc, start, count, a, content.view(np.uint64)))
+            order, first = grouped(start, a, c)
+            x, y = a[order][first], c[order][first]
+            anchors, which = np.unique(x >> U(64 - bits), return_inverse=True)
+            by_anchor = np.lexsort((y.view(np.int64), which))
+            begin = np.searchsorted(which[by_anchor], np.arange(len(anchors)))
+            low, high = y.view(np.int64)[by_anchor[begin]], y.view(np.int64)[by_anchor[np.r_[begin[1:], len(y)] - 1]]
+            parts = Parts(block, buckets).keep(np.diff(first, prepend=0), doc[order], (start * 1024 + count)[order], which)
+            yield parts.send(COPIES, y, (x >> U(32)).view(np.int64), np.zeros(len(y), np.int64)).send(KINDS, anchors, low, low ^ high, bits=bits).batch()
+            trim()
+
+
+def edges(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Round 3: the edges of one path of each kind that shares its anchor with others."""
+    half = length - length // 2
+    for batch in batches:
+        for block, data, state, several in zip(batch.column("block").to_pylist(), *(batch.column(c) for c in ("data", "state", "several")), strict=True):
+            first, doc, p, which = unpack_all(state.as_py())
+            first = np.cumsum(first)
+            times = np.diff(np.r_[first, len(doc)])
+            kind = np.flatnonzero(marked(several, int(which.max()) + 1)[which])
+            if not len(kind):
+                continue
+            texts = texts_of(opened(data.as_py()))
+            run = first[kind]
+            order = np.argsort(doc[run], kind="stable")
+            kind, run = kind[order], run[order]
+            wanted = np.unique(doc[run])
+            values = [word_values(texts[i].split()) for i in wanted]
+            place = np.searchsorted(wanted, doc[run])
+            found = []
+            for i, j in chunks(values):
+                low, high = np.searchsorted(place, [i, j])
+                sizes = np.array([len(v) for v in values[i:j]], np.int64)
+                w = Windows(np.concatenate(values[i:j]), length, 1)
+                base = np.cumsum(sizes) - sizes
+                n = p[run[low:high]] % 1024
+                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(base[place[low:high] - i] + p[run[low:high]] // 1024, n) + off
+                found.append((np.repeat(kind[low:high], n), off, w.span_hash(at, at + half), w.span_hash(at + length - half, at + length)))
+            kind, off, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+            order, begin = grouped(off, y, x)
+            again = np.add.reduceat(times[kind[order]], begin) > 1
+            x, y = x[order][begin], y[order][begin]
+            yield Parts(block, buckets).keep(np.diff(begin, prepend=0), kind[order], off[order], again).send(COPIES, x, (y >> U(24)).view(np.int64), np.zeros(len(x), np.int64)).batch()
+            trim()
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text", n_words: str = "n_words", n_removed: str = "n_removed", length: int = LENGTH, spans: str | None = None) -> DataFrame:
+    """The columns of docs plus the text without the words of repeated windows (joined by one space), the two counts and, if named, the maximal removed spans (array<struct<s,e>> of word places)."""
+    if not 2 <= length < 1024:
+        raise ValueError("length must be 2 to 1023")
+    new = [T.StructField(out, T.StringType()), T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType()), *([T.StructField(spans, T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))] if spans else [])]
+    shown = [f for f in docs.schema.fields if f.name.lower() not in {x.name.lower() for x in new}]
+    rest = [f for f in shown if f.name != text]
+    (row,) = fresh(docs, "row")
+    columns = [F.struct(F.lit(0).alias(row), *(F.col(f.name) for f in rest)).alias("rest"), F.col(text).alias("text")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for batch in slices(big, text):
-                kept, total, gone = [], [], []
-                for t, row in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True):
-                    words = (t or "").encode().split()
-                    total.append(len(words))
-                    if row:
-                        hit = covered(len(words), [(x["s"], x["e"]) for x in row])
-                        words = [w for w, h in zip(words, hit.tolist(), strict=True) if not h]
-                    gone.append(total[-1] - len(words))
-                    kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*(f.name for f in rest), *(f.name for f in new)])
-
-    return joined.mapInArrow(apply, T.StructType([*rest, *new]))
+        for batch in batches:
+            for data, state, gone, state3, gone3 in zip(*(batch.column(c) for c in ("data", "state", "gone", "state3", "gone3")), strict=True):
+                table = opened(data.as_py())
+                words = [t.split() for t in texts_of(table)]
+                sizes = np.array([len(w) for w in words], np.int64)
+                base = np.cumsum(sizes + 1) - sizes - 1  # a gap after each text, so that no span goes on into the next
+                steps = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
+                mark = lambda d, s, e, base=base, steps=steps: (np.add.at(steps, base[d] + s, 1), np.add.at(steps, base[d] + e, -1))
+                if state.is_valid:
+                    first, doc, p, _ = unpack_all(state.as_py())
+                    first = np.cumsum(first)
+                    times = np.diff(np.r_[first, len(doc)])
+                    repeated = (times > 1) | marked(gone, len(first))
+                    whole = np.repeat(repeated, times)
+                    mark(doc[whole], p[whole] // 1024, p[whole] // 1024 + p[whole] % 1024 - 1 + length)
+                    if state3.is_valid:
+                        begin, kind, off, again = unpack_all(state3.as_py())
+                        begin = np.cumsum(begin)
+                        hit = np.repeat(marked(gone3, len(begin)) | (again > 0), np.diff(np.r_[begin, len(kind)])) & ~repeated[kind]
+                        run = first[kind[hit]]  # paths that aren't repeated occur once
+                        s = p[run] // 1024 + off[hit]
+                        mark(doc[run], s, s + length)
+                covered = np.cumsum(steps[:-1]) > 0
+                lost = np.add.reduceat(covered, base, dtype=np.int64)
+                kept = [b" ".join(compress(w, (~covered[b : b + n]).tolist()) if x else w).decode() for w, b, n, x in zip(words, base.tolist(), sizes.tolist(), lost.tolist(), strict=True)]
+                arrays = dict(zip((row, *(f.name for f in rest)), table.column("rest").combine_chunks().flatten(), strict=True))
+                arrays |= {text: table.column("text").combine_chunks(), out: pa.array(kept, pa.string()), n_words: pa.array(sizes), n_removed: pa.array(lost)}
+                if spans:
+                    edge = np.flatnonzero(np.diff(np.r_[False, covered, False])).reshape(-1, 2)
+                    owner = np.searchsorted(base, edge[:, 0], side="right") - 1
+                    struct = pa.StructArray.from_arrays([pa.array(edge[:, 0] - base[owner]), pa.array(edge[:, 1] - base[owner])], ["s", "e"])
+                    arrays[spans] = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(words) + 1)).astype(np.int32)), struct)
+                names = [f.name for f in (*shown, *new)]
+                yield pa.RecordBatch.from_arrays([arrays[x] for x in names], names)
+                trim()
+
+    blocks = written(to_blocks(docs.select(*columns)))
+    n = blocks.count()
+    bits, buckets = anchor_bits(n), max(4, -(-n // (2 * BLOCKS_A_BUCKET)))
+    replies = written(shared_anchors(blocks, word_hashes, length, anchor_size(length), buckets, bits))
+    second = blocks.join(replies.groupBy("block").agg(F.collect_list("anchors").alias("anchors")), "block", "left").select("block", "data", "anchors")
+    parts = written(second.mapInArrow(lambda b: paths(b, length, buckets, bits), PARTS))
+    drop(replies)
+    told, state = answers(parts), written(own(parts))
+    drop(parts)
+    third = blocks.join(state, "block").join(told.where("size(several) > 0"), "block").select("block", "data", "state", "several")
+    parts3 = written(third.mapInArrow(lambda b: edges(b, length, buckets), PARTS))
+    told3, state3 = answers(parts3).withColumnRenamed("gone", "gone3"), written(own(parts3).withColumnRenamed("state", "state3"))
+    drop(parts3)
+    last = blocks.join(state, "block", "left").join(told, "block", "left").join(state3, "block", "left").join(told3, "block", "left")
+    return last.select("data", "state", "gone", "state3", "gone3").mapInArrow(apply, T.StructType([*shown, *new]))

@@ -133,12 +133,12 @@ class Windows:
         return self.span_hash(at, at + self.length).view(np.int64)
 
 
-#: Bytes of text whose hashes are computed at once: few calls for short texts, arrays that stay in a core's cache.
+#: Tokens whose hashes are computed at once: few calls for short texts, arrays that stay in a core's cache.
 CHUNK = 65_536
 
 
-def chunks(texts: list[bytes], most: int = CHUNK) -> list[tuple[int, int]]:
-    """Bounds of stretches of texts with about `most` bytes each."""
+def chunks(texts: list, most: int = CHUNK) -> list[tuple[int, int]]:
+    """Bounds of stretches of texts with about `most` tokens each."""
     out, first, size = [], 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -148,12 +148,12 @@ def chunks(texts: list[bytes], most: int = CHUNK) -> list[tuple[int, int]]:
     return out
 
 
-def block_runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of a block of texts: which text each half run is in, its first window, number of windows, anchor and content. No window crosses texts."""
+def block_runs(values: list[np.ndarray], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of a block of texts, given their tokens' hashes: which text each half run is in, its first window, number of windows, anchor and content. No window crosses texts."""
     found = []
-    for i, j in chunks(texts):
-        sizes = np.array([len(t) for t in texts[i:j]], np.int64)
-        w = Windows(byte_values(b"".join(texts[i:j])), length, k)
+    for i, j in chunks(values):
+        sizes = np.array([len(t) for t in values[i:j]], np.int64)
+        w = Windows(np.concatenate(values[i:j]), length, k)
         if not w.n:
             continue
         base = np.cumsum(sizes) - sizes
