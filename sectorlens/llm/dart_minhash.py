@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # one pass over the texts: a number for the row, its id and text hash, the key of its words, its band hashes and its sketch
     read_once = written(base.mapInArrow(read, "id long, t long, key binary, size long, bands array<long>, sketch array<long>").withColumn("node", F.monotonically_increasing_id()))
-    groups = read_once.groupBy("key").agg(F.min("node").alias("rep"), F.min(F.struct("id", "t")).alias("low"))
+    # written, so that joins with it can split the rows of one key, the copies of one text
+    groups = written(read_once.groupBy("key").agg(F.min("node").alias("rep"), F.min(F.struct("id", "t")).alias("low")))
     signed = read_once.join(groups.select("key", F.col("rep").alias("node")), ["key", "node"]).select("node", F.explode("bands").alias("band"))
     buckets = signed.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("band", "head")
     met = written(signed.join(buckets, "band"))
