@@ -32,6 +32,10 @@ from .common import trim
 CACHE = 100_000
 
 
+#: Texts on which the fast word splitter must agree with the file's own rules.
+PROBES = ("Don't we'll I'D x's", "ab12 3c-d--e ... !?", "É à'S ñ ÷½²", "  two  spaces\ttab\nline ", "a_b@c.d #1 (x)", "''s 'tis rock'n'roll'")
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -48,6 +52,8 @@ class ForcedBoundaryBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if model["type"] != "BPE" or model.get("ignore_merges") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
+            raise ValueError("not a byte-level BPE file with plain merges")
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -72,8 +78,14 @@ class ForcedBoundaryBPE:
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.plain, self.words = latin_rules()
+        if any(self.words(p.lower()) != self.alphabet_words(p) for p in PROBES):
+            self.plain = bool  # another file's rules: every piece goes to its own splitter
         self.cache = Words(self)
 
+    def alphabet_words(self, piece: str) -> list[str]:
+        """The library's words of a piece, in plain characters."""
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.split(self.normalize(piece))]
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for i, piece in enumerate(self.cut_special.split(text)):
